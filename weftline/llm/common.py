@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def send(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts a model of bounded size; called in a task, what is returned gives it."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def remainder(column: str, by: int) -> Column:
     """crc32 of a number as text, modulo ``by``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
