@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import contaminated
 from .mixing import mix_sources
 from .simhash import near_duplicates
 
@@ -19,9 +20,14 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
