@@ -23,8 +23,8 @@ from .common import labelled_sample, remainder, send, slices
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 PREFIXES = (3, 4, 5, 6, 7)
 #: Bounds of the training sample: labelled documents, and characters of one.
-TRAIN_ROWS, TRAIN_CHARS = 6_000, 20_000
-EPOCHS, RATE = 6, 0.05
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 10_000
+EPOCHS, RATE = 3, 0.05
 _FOLD, _REMEMBERED = 4096, 150_000
 
 
@@ -116,8 +116,8 @@ def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 42) -> Cnn:
         for begin in range(0, len(order), 32):
             part = order[begin : begin + 32]
             table, biases = net.folded() if begin % 128 == 0 else (table, biases)  # noqa: F821
-            g_emb: dict[int, np.ndarray] = {}
             g_f, g_b, g_o, g_ob = [np.zeros_like(f) for f in net.filters], [np.zeros_like(b) for b in net.biases], np.zeros_like(net.out), 0.0
+            touched, pulls = [], []
             for i in part:
                 ids = texts[i]
                 h, where = pooled(len(ids), lambda a, b, ids=ids: table[ids[a:b]].sum(axis=1), biases)
@@ -131,15 +131,14 @@ def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 42) -> Cnn:
                         continue
                     g = dh[n * FILTERS : (n + 1) * FILTERS]
                     g_b[n] += g
-                    for j in np.flatnonzero(g):
-                        words = ids[where[n][j] : where[n][j] + width]
-                        g_f[n][:, :, j] += g[j] * net.embedding[words].sum(axis=1)
-                        for k, own in enumerate(words.tolist()):
-                            for i_ in own:
-                                g_emb[i_] = g_emb.get(i_, 0) + g[j] * net.filters[n][k, :, j]
-            if g_emb:
-                words = np.fromiter(g_emb, np.int64, len(g_emb))
-                g = np.stack(list(g_emb.values())).astype(np.float32)
+                    words = ids[where[n][:, None] + np.arange(width)]  # filters x width x ids of a word
+                    g_f[n] += (net.embedding[words].sum(axis=2) * g[:, None, None]).transpose(1, 2, 0)
+                    touched.append(words.reshape(-1, words.shape[2]))
+                    pulls.append((net.filters[n] * g).transpose(2, 0, 1).reshape(-1, DIM))
+            if touched:
+                words, of = np.unique(np.concatenate(touched), return_inverse=True)
+                pull = np.repeat(np.concatenate(pulls), 1 + len(PREFIXES), axis=0)
+                g = np.stack([np.bincount(of.ravel(), pull[:, j], len(words)) for j in range(DIM)], axis=1).astype(np.float32)
                 seen[0][words] += g * g
                 net.embedding[words] -= rate * g / np.sqrt(seen[0][words])
             for p_, g, s in zip([*net.filters, *net.biases, net.out], [*g_f, *g_b, g_o], seen[1:], strict=True):
