@@ -142,8 +142,16 @@ def quality(docs: DataFrame, model: Ordinal, tail_from: int | None = None) -> Da
 
 def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents, in their own columns, whose probability of the highest grade is at least ``least``."""
-    model = fit(docs, labels)
-    return quality(docs, model).where(F.col("tail_probability") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sent = send(docs.sparkSession, fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, model = Features(), sent()
+        for batch in batches:
+            for part in slices(batch):
+                p = model.probabilities(np.array([model.position(features.of(t)) for t in part.column("text").to_pylist()]))
+                yield part.filter(pa.array(p[:, -1] >= least))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
 
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

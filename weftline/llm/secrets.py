@@ -194,10 +194,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", false_share: float = FALSE_S
 
     Overlapping spans are replaced as one. Texts without secrets and null texts stay as they are.
     """
-    df = with_spans(docs, false_share)
+    # the row travels as one struct, so that no column of it can clash with those of the scan
+    df = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), false_share)
     step = f"if(x.at < a.to, named_struct('to', greatest(a.to, x.end), 'out', a.out), named_struct('to', x.end, 'out', concat(a.out, substring(_text, cast(a.to as int) + 1, cast(x.at - a.to as int)), '{mark}')))"
     text = F.expr(f"aggregate(_spans, named_struct('to', 0L, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(_text, cast(a.to as int) + 1)))")
     df = df.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+    return df.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
