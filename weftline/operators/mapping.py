@@ -62,11 +62,10 @@ class Context:
 def mapped(rows: DataFrame, mapper: Mapper | Callable[[dict], Iterator[tuple]] | str, schema: str, counters: Any = None) -> DataFrame:
     """Runs a mapper over all rows. A function yields tuples of the schema; a name like ``package.module.thing`` is looked up."""
     handler = named(mapper) if isinstance(mapper, str) else mapper
-    names = [f.strip().split()[0] for f in schema.split(",")]
+    names, own = [f.strip().split()[0] for f in schema.split(",")], handler if isinstance(handler, Mapper) else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = Context(counters)
-        own = handler if isinstance(handler, Mapper) else None
         if own:
             own.begin_shard(context)
         for batch in batches:

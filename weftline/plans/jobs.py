@@ -63,7 +63,7 @@ class Job:
     def abort(self) -> None:
         """Cancels the job's Spark jobs; it ends as aborted."""
         self._stop.set()
-        self.spark.sparkContext.cancelJobsWithTag(self.id)
+        self.spark.sparkContext.cancelJobGroup(self.id)
 
 
 class Engine:
@@ -81,7 +81,7 @@ class Engine:
         self.jobs[job.id] = job
 
         def run() -> None:
-            self.spark.addTag(job.id)
+            self.spark.sparkContext.setJobGroup(job.id, spec.name, interruptOnCancel=True)  # of this thread alone
             try:
                 for attempt in range(attempts):
                     try:
@@ -101,7 +101,6 @@ class Engine:
             except Exception:
                 job.status = Status.ABORTED if job._stop.is_set() else Status.FAILED
             finally:
-                self.spark.removeTag(job.id)
                 if done:
                     done(job)
 
