@@ -164,3 +164,31 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def brute_force_sql(templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for ``scan_licenses`` over documents: every block with every template, no filters."""
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    sets = {label: sorted({w.decode() for w in words_of(t)}) for label, t in (TEMPLATES if templates is None else templates).items()}
+    rows = ", ".join(f"('{label}', {words!r}, {math.ceil(threshold * len(words) - 1e-9)})" for label, words in sets.items() if words)
+    places = []
+    for phrase, label in (PHRASES if phrases is None else phrases).items():
+        same = " AND ".join(f"w[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1))
+        places.append(f"SELECT r, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: {same})) AS place FROM w")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH t(label, words, need) AS (VALUES {rows}),
+x AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '{pattern}') AS w FROM x),
+places AS ({' UNION ALL '.join(places)}),
+base AS (SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY r),
+paragraphs AS (SELECT r, unnest(string_split_regex(x, '\n[ \t\r\x0B\x0C]*\n')) AS b FROM w),
+blocks AS (SELECT r, list_distinct(regexp_extract_all(b, '{pattern}')) AS w FROM (SELECT r, b FROM paragraphs UNION ALL SELECT r, unnest(string_split(b, chr(10))) FROM paragraphs)),
+hits AS (SELECT r, label, CAST(len(list_intersect(blocks.w, words)) AS DOUBLE) / len(words) AS s FROM blocks, t WHERE len(list_intersect(blocks.w, words)) >= need),
+best AS (SELECT r, max(s) AS s, list(DISTINCT label) AS labels FROM hits GROUP BY r)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ','), '') AS labels,
+  CASE WHEN n IS NOT NULL THEN 1.0 ELSE coalesce(s, 0.0) END AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN best USING (r)
+"""

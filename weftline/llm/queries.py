@@ -10,7 +10,7 @@ from . import chat, search
 from .common import table
 from .decontam import contaminated
 from .langid import language
-from .licenses import scan_licenses
+from .licenses import brute_force_sql, scan_licenses
 from .mixing import mix_sources
 from .quality import scored
 from .secrets import scan_secrets
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op5_chat_formatting": chat.ORACLE, "op9_exact_topk": search.ORACLE}
+ORACLES: dict[str, str] = {"op5_chat_formatting": chat.ORACLE, "op6_license_scan": brute_force_sql(), "op9_exact_topk": search.ORACLE}

@@ -174,6 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     texts = []
     for r in rows:
         words = words_of(r["text"])
+        if len(known) > 100_000:
+            known.clear()
         for w in set(words).difference(known):
             known[w] = word_ids(w)
         texts.append(np.array([known[w] for w in words], np.int32).reshape(-1, 1 + len(PREFIXES)))
