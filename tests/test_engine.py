@@ -14,8 +14,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions import hashing, text
-from weftline.operators import counters, grouping, mapping, ordering, schema, sinks, splits
+from weftline.functions import codec, hashing, text
+from weftline.operators import counters, exchange, grouping, mapping, ordering, schema, sinks, splits
 from weftline.plans import jobs, spec
 from weftline.sources import files, generators, recordlog, scan
 from weftline.streaming import slices
@@ -346,3 +346,38 @@ def test_slices(spark, tmp_path):
     assert seen[3:] == [(3, 5)]
     slices.running_counts(source().withColumn("k", F.col("id") % 2), "k", f"{tmp_path}/cp2", "sums")
     assert sorted(map(tuple, spark.table("sums").collect())) == [(0, 18), (1, 17)]
+
+
+@given(st.binary(max_size=300), st.lists(st.binary(max_size=200), max_size=5), st.booleans())
+def test_messages_round_trip(key, values, partial):
+    assert codec.group_of(codec.group_bytes(key, values, partial)) == (key, values, partial)
+    assert codec.pair_of(codec.pair_bytes(key, key)) == (key, key)
+
+
+def test_codec():
+    at = datetime(2024, 1, 2, 3, 4, 5, 6)
+    assert codec.loads(codec.dumps({"a": at, "b": [1, {"c": {3, 1}}]})) == {"a": at, "b": [1, {"c": {1, 3}}]}
+    with pytest.raises(TypeError):
+        codec.dumps(object())
+    assert codec.descending_id(2.0) < codec.descending_id(1.0)
+    with pytest.raises(ValueError):
+        codec.pair_of(b"\x0a\x05ab")
+
+
+def test_shuffle_files(spark, tmp_path):
+    recordlog.register(spark)
+    rows = spark.range(100).select(codec.pair_column(F.col("id").cast("string"), F.col("id").cast("string")).alias("record"))
+    rows.write.format("recordlog").mode("append").save(f"{tmp_path}/in")
+    manifest = exchange.shuffle_files(spark, [f"{tmp_path}/in"] * 3, f"{tmp_path}/out", 4, most=2)
+    assert '"files"' in manifest
+    seen = {}
+    for name in os.listdir(f"{tmp_path}/out"):
+        if name.endswith(".log"):
+            with open(f"{tmp_path}/out/{name}", "rb") as f:
+                groups = [codec.group_of(r) for r in recordlog.decode(f.read())]
+            keys = [k for k, _, _ in groups]
+            assert keys == sorted(keys)
+            for k, values, partial in groups:
+                seen.setdefault(k, []).append((len(values), partial, name))
+    assert set(seen) == {str(i).encode() for i in range(100)}
+    assert all([x[:2] for x in v] == [(2, True), (1, False)] and len({x[2] for x in v}) == 1 for v in seen.values())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from ..operators import counters, grouping, mapping, ordering, schema, sinks, splits
+from ..operators import counters, exchange, grouping, mapping, ordering, schema, sinks, splits
 from ..sources import files, generators, scan
 from .spec import JobSpec
 
@@ -503,3 +503,27 @@ def chained_create_count_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = generators.consecutive_longs(spark, 0, 1000, 8).select("value", F.expr("repeat('ab', cast(value % 5 as int))").alias("payload"))
     kept = sinks.deleted(made, made.where("value % 3 = 0"), "value")
     return kept.select(F.explode(text.characters(F.col("payload"))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS key, list_sort(list(c_custkey)) AS values FROM customer GROUP BY ALL")
+def regrouped_partial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("value"))
+    return exchange.regrouped(grouping.bounded_groups(pairs, 7))
+
+
+@query("""
+SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 4
+UNION ALL SELECT c_custkey, 'put', 0.0 FROM customer WHERE c_custkey % 3 = 1 AND c_custkey % 5 <> 4
+""")
+def mutation_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    open_ = rows.where("c_custkey % 3 > 0 and c_custkey % 5 <> 4")
+    first = open_.withColumns({"op": F.lit(exchange.PUT), "at": F.lit(1), "c_name": F.lit("put"), "c_acctbal": F.lit(0.0)})
+    then = open_.where("c_custkey % 3 = 2").withColumns({"op": F.lit(exchange.DELETE), "at": F.lit(2)})
+    return exchange.applied(rows, first.unionByName(then), "c_custkey", "at")
+
+
+@query("SELECT c_nationkey, c_custkey, coalesce(lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), -1) AS next_c_custkey FROM customer")
+def peeking_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    return exchange.with_neighbour(rows, "c_nationkey", "c_custkey", "c_custkey").fillna(-1)
