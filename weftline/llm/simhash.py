@@ -23,6 +23,9 @@ from .common import connected_components, slices, written
 RADIUS, SEED = 3, 42
 #: Members of a key's bucket up to which its pairs are compared directly.
 SMALL_BUCKET = 48
+#: Keys that a task sorts, on average: 36 MB. The number of parts follows from it, and parts are even, as keys are
+#: of distinct fingerprints.
+PART_KEYS = 4_000_000
 
 _one = np.uint64(1)
 #: For each byte, its bits in eight byte-wide lanes.
@@ -63,16 +66,36 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _ball_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, 2048):
-            fp = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for block in range(4):
-                turn = np.uint64(16 * block)
-                turned = fp if block == 0 else (fp << turn) | (fp >> (np.uint64(64) - turn))
-                kept = (turned & np.uint64((1 << 48) - 1)) | np.uint64(block << 48)
-                keys = (kept[:, None] ^ _FLIPS[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(fp, len(_FLIPS)).view(np.int64))], ["key", "fp"])
+def _rotated(fp: np.ndarray, by: int) -> np.ndarray:
+    return fp if by == 0 else (fp << np.uint64(by)) | (fp >> np.uint64(64 - by))
+
+
+def _packed_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every key of some fingerprints: its 50 bits, and in 22 bits more what the fingerprint has besides.
+
+    Of the 72 bits, 64 are in a word that sorts by key, the others in a byte.
+    """
+    words, tails, keys = [], [], []
+    for block in range(4):
+        turned = _rotated(fp, 16 * block)
+        kept = (turned & np.uint64((1 << 48) - 1)) | np.uint64(block << 48)
+        key = (kept[:, None] ^ _FLIPS[None, :]).ravel()
+        rest = ((turned >> np.uint64(48) << np.uint64(6))[:, None] | np.arange(len(_FLIPS), dtype=np.uint64)[None, :]).ravel()
+        keys.append(key)
+        words.append(key << np.uint64(14) | rest >> np.uint64(8))
+        tails.append(rest.astype(np.uint8))
+    return np.concatenate(keys), np.concatenate(words), np.concatenate(tails)
+
+
+def _unpacked(words: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fingerprint) of each packed row."""
+    key, rest = words >> np.uint64(14), (words & np.uint64((1 << 14) - 1)) << np.uint64(8) | tails
+    turned = (rest >> np.uint64(6) << np.uint64(48)) | ((key & np.uint64((1 << 48) - 1)) ^ _FLIPS[(rest & np.uint64(63)).astype(np.intp)])
+    block, fp = key >> np.uint64(48), np.empty_like(turned)
+    for n in range(4):
+        at = block == n
+        fp[at] = _rotated(turned[at], (64 - 16 * n) % 64)
+    return key, fp
 
 
 def _near_in_runs(key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
@@ -89,53 +112,24 @@ def _near_in_runs(key: np.ndarray, fp: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: the verified pairs of small buckets (big false), the members of large ones (big true).
-
-    Only the rows of the last, perhaps unfinished bucket are held from batch to batch, and none once it is large.
-    """
+def _bucket_links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: the verified pairs of small buckets (big false), the members of large ones (big true)."""
 
     def out(a: np.ndarray, b: np.ndarray, big: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), big))], ["a", "b", "big"])
 
-    held_key, held_fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    large = None  # the key of a large bucket that is being passed on
-
-    def settle(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        per_row = np.repeat(sizes, sizes)
-        small, big = (per_row > 1) & (per_row <= SMALL_BUCKET), per_row > SMALL_BUCKET
-        if small.any():
-            pairs = _near_in_runs(key[small], fp[small])
-            if pairs and len(p := np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)):
-                yield out(np.ascontiguousarray(p[:, 1]), np.ascontiguousarray(p[:, 0]), False)
-        if big.any():
-            yield out(key[big], fp[big], True)
-
-    for batch in batches:
-        key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-        fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        if large is not None and len(key):
-            n = int((key == large).argmin()) if (key != large).any() else len(key)
-            if n:
-                yield out(key[:n], fp[:n], True)
-            if n < len(key):
-                large = None
-            key, fp = key[n:], fp[n:]
-        key, fp = np.concatenate([held_key, key]), np.concatenate([held_fp, fp])
-        if not len(key):
-            continue
-        end = int(np.flatnonzero(key == key[-1])[0])
-        if end:
-            yield from settle(key[:end], fp[:end])
-        held_key, held_fp = key[end:], fp[end:]
-        if len(held_key) > SMALL_BUCKET:
-            large = held_key[0]
-            yield out(held_key, held_fp, True)
-            held_key, held_fp = held_key[:0], held_fp[:0]
-    if len(held_key):
-        yield from settle(held_key, held_fp)
+    if not len(key):
+        return
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    per_row = np.repeat(sizes, sizes)
+    small, big = (per_row > 1) & (per_row <= SMALL_BUCKET), per_row > SMALL_BUCKET
+    if small.any():
+        pairs = _near_in_runs(key[small], fp[small])
+        if pairs and len(p := np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)):
+            yield out(np.ascontiguousarray(p[:, 1]), np.ascontiguousarray(p[:, 0]), False)
+    if big.any():
+        yield out(key[big], fp[big], True)
 
 
 def _large_bucket_links(members: DataFrame) -> DataFrame:
@@ -168,9 +162,31 @@ def near_links(fps: DataFrame) -> DataFrame:
     Every pair in a bucket of at most SMALL_BUCKET rows is compared; larger buckets are tied up as
     ``_large_bucket_links`` tells, which leaves out links only between fingerprints that others connect.
     """
-    keys = fps.select("fp").mapInArrow(_ball_keys, "key long, fp long")
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long, big boolean"), "links")
+    n = fps.count() * 4 * len(_FLIPS)
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_KEYS))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nine bytes a key, those of one part together in a row: no row or field overhead goes through the shuffle."""
+        for batch in batches:
+            for piece in slices(batch, 8192):
+                key, words, tails = _packed_keys(piece.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+                part = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part, words, tails = part[order], words[order], tails[order]
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                ends = np.r_[starts[1:], len(part)]
+                rows = [words[a:b].tobytes() + tails[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(rows, pa.binary())], ["part", "rows"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.column("rows").to_pylist()]
+        words = np.concatenate([np.frombuffer(r, "<u8", len(r) // 9) for r in rows] or [np.zeros(0, np.uint64)])
+        tails = np.concatenate([np.frombuffer(r, np.uint8, len(r) // 9, len(r) // 9 * 8) for r in rows] or [np.zeros(0, np.uint8)])
+        order = np.argsort(words)
+        yield from _bucket_links(*_unpacked(words[order], tails[order]))
+
+    placed = fps.select("fp").mapInArrow(spread, "part int, rows binary").repartitionById(parts, F.col("part"))
+    found = written(placed.mapInArrow(gather, "a long, b long, big boolean"), "links")
     return found.where("not big").select("a", "b").unionByName(_large_bucket_links(found.where("big"))).distinct()
 
 
