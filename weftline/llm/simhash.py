@@ -216,8 +216,9 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     found = near_duplicates(docs, shingle)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     # the row travels as one struct, so that no column of it can clash with those added here
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(first.withColumnRenamed("doc_id", "first"), F.col("id").eqNullSafe(F.col("first")))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(first.select(*key), ["id", "none"], "left_semi")  # joined and ordered by one key: texts are shuffled once
     text, orderable = F.col("row")["text"], not any(x in docs.schema.simpleString() for x in ("map<", "variant"))
-    order = Window.partitionBy("id").orderBy(F.xxhash64(text), text, *([F.col("row")] if orderable else []))
+    order = Window.partitionBy("id", "none").orderBy(F.xxhash64(text), text, *([F.col("row")] if orderable else []))
     return kept.withColumn("n", F.row_number().over(order)).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
