@@ -381,3 +381,23 @@ def test_shuffle_files(spark, tmp_path):
                 seen.setdefault(k, []).append((len(values), partial, name))
     assert set(seen) == {str(i).encode() for i in range(100)}
     assert all([x[:2] for x in v] == [(2, True), (1, False)] and len({x[2] for x in v}) == 1 for v in seen.values())
+
+
+def test_ranked_over_a_whole_table(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select((F.col("o_orderkey") - 5000).alias("value")).distinct()
+    ranked = ordering.ranked(orders, text.ordered_long(F.col("value")), 8)
+    got = [tuple(r) for r in ranked.orderBy("place").select("value", "place").collect()]
+    assert got == [(v, n + 1) for n, v in enumerate(sorted(r.value for r in orders.collect()))] and got[-1][0] >= 5000 > 0 > got[0][0]
+    # ties and nulls keep their rows; more ranges than keys, no rows, nulls only
+    few = spark.createDataFrame([(v,) for v in [3, None, 3, -1, None, 3]], "v long")
+    assert [tuple(r) for r in ordering.ranked(few, F.col("v"), 7).orderBy("place").collect()] == [(None, 1), (None, 2), (-1, 3), (3, 4), (3, 5), (3, 6)]
+    assert ordering.ranked(few.limit(0), F.col("v")).count() == 0
+    assert [r.place for r in ordering.ranked(few.where("v IS NULL"), F.col("v")).collect()] == [1, 2]
+
+
+def test_ranked_sorts_ranges(spark):
+    """Each task of the numbering gets a range of keys, not the table."""
+    x = spark.range(20_000).select((F.col("id") - 5000).alias("value"))
+    ranked = ordering.ranked(x, text.ordered_long(F.col("value")), 8)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(_range" in plan

@@ -24,6 +24,32 @@ def places(rows: DataFrame, shard: Column, *order: Column) -> DataFrame:
     return out.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy(*order)).cast("long"))
 
 
+def ranked(rows: DataFrame, key: Column, parts: int | None = None) -> DataFrame:
+    """The rows with their place in the order of ``key`` over the whole table, from 1, nulls first.
+
+    No task sorts more than a range of keys: borders come from a sample of the keys (those of the smallest hashes, so
+    always the same), and a place is the count of the ranges before and the place inside its own. Equal keys share a
+    range and get their places in any order. The rows are computed three times: sampled, counted, numbered.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("_key", key)
+    sample = keyed.select(F.col("_key").alias("k")).where("k IS NOT NULL").orderBy(F.xxhash64("k")).limit(64 * parts).distinct().orderBy("k").collect()
+    borders = [sample[i * len(sample) // parts]["k"] for i in range(1, parts)] if len(sample) >= parts else [r["k"] for r in sample]
+
+    def range_of(low: int, high: int) -> Column:
+        """The number of borders up to the key, of those from low to high, by halves."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("_key") >= F.lit(borders[mid]), range_of(mid + 1, high)).otherwise(range_of(low, mid))
+
+    placed = keyed.withColumn("_range", range_of(0, len(borders)))
+    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}
+    before = F.array(*[F.lit(sum(counts.get(j, 0) for j in range(i))).cast("long") for i in range(len(borders) + 1)])
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
+    return placed.withColumn("place", F.element_at(before, F.col("_range") + 1) + own).drop("_range", "_key")
+
+
 def order_breaks(rows: DataFrame, shard: str, order: str, key: str) -> DataFrame:
     """The rows with a segment that goes up whenever the key falls behind the one before it."""
     w = Window.partitionBy(shard).orderBy(order)

@@ -364,7 +364,7 @@ def sort_within_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT x AS value, row_number() OVER (ORDER BY x) AS place FROM (SELECT DISTINCT o_orderkey - 5000 AS x FROM orders WHERE o_orderkey < 10000)")
 def binary_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "orders").where("o_orderkey < 10000").select((F.col("o_orderkey") - 5000).alias("value")).distinct()
-    return ordering.places(x, F.lit(0), text.ordered_long(F.col("value"))).select("value", "place")
+    return ordering.ranked(x, text.ordered_long(F.col("value"))).select("value", "place")
 
 
 @query("""
