@@ -91,3 +91,19 @@ def test_components_and_empty(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 200: 100}
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_keep_one_keeps_each_group(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    # several texts without id, or with one id, are several documents; c, d and f are copies of rows with an id
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (7, d), (7, e), (7, e), (6, d), (7, f), (None, f), (None, None), (None, ""), (None, g)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows] + [(None, g, 1)], "doc_id long, text string, n int")
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text or "") for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (5, c), (6, d), (7, e), (7, f), (None, ""), (None, g)], key=str)
+    with_map = docs.withColumn("m", F.create_map(F.lit("k"), F.col("n")))
+    assert sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(with_map).collect()), key=str) == sorted(got, key=str)
+    assert simhash.keep_one(docs.limit(0)).collect() == []

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, slices, written
@@ -54,16 +54,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): a row per input row; fp holds the 64 bits as a long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *more: str) -> DataFrame:
+    """(doc_id, fp) and the columns ``more``, which are longs: a row per input row; fp holds the 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 fps = np.fromiter((fingerprint(t, shingle) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64)), *(part.column(c) for c in more)], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def _rotated(fp: np.ndarray, by: int) -> np.ndarray:
@@ -208,17 +208,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Documents with one row for each group of near-duplicates, that of its smallest doc_id.
+    """Documents with exactly one row for each group of near-duplicates, that of its smallest doc_id.
 
-    Repeated rows and rows that share a doc_id count as one document: the first by text stays. A row whose doc_id is null stays
-    only if no row of its group has one.
+    A row whose doc_id is null stays only if no row of its group has one; of rows that tie, the first by the hashes of
+    text and row stays. A doc_id stands for nothing beyond its group: rows that share one, or have none, stay each for
+    their own group if their texts differ by more than a group does. Fully repeated rows are brought to one before the
+    rest is joined, so that no task holds all of them.
     """
-    found = near_duplicates(docs, shingle)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     # the row travels as one struct, so that no column of it can clash with those added here
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
-    rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(first.select(*key), ["id", "none"], "left_semi")  # joined and ordered by one key: texts are shuffled once
-    text, orderable = F.col("row")["text"], not any(x in docs.schema.simpleString() for x in ("map<", "variant"))
-    order = Window.partitionBy("id", "none").orderBy(F.xxhash64(text), text, *([F.col("row")] if orderable else []))
-    return kept.withColumn("n", F.row_number().over(order)).where("n = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    hashed = [F.col(f"`{c.name}`") for c in docs.schema if not any(x in c.dataType.simpleString() for x in ("map<", "variant"))]
+    of_text = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2")]  # 128 bits tell texts of one doc_id apart
+    key = ["none", "id", "h1", "h2", "h3"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *of_text, F.xxhash64(*hashed).alias("h3"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    id_ = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")]
+    found = fingerprints(rows, shingle, "h1", "h2", "h3").select("fp", F.struct(*id_, "h1", "h2", "h3").alias("best"))
+    classes = written(found.groupBy("fp").agg(F.min("best").alias("best")), "classes")
+    groups = connected_components(near_links(classes))
+    tied = classes.join(groups, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("best").alias("best"))
+    first = written(tied.select("best.*"), "first")
+    unique = rows.select(*id_, "h1", "h2", "h3", "row").groupBy(*key).agg(F.first("row").alias("row"))
+    kept = unique.join(first, key, "left_semi")  # grouped and joined by one key: texts are shuffled once
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
