@@ -126,3 +126,11 @@ def test_pooling_of_segments():
         parts = [np.pad(np.frombuffer(t[i : i + 128], np.uint8), (0, 128 - len(t[i : i + 128]))) for i in range(0, len(t), 128)]
         each = [model.label(s[None, :])[: len(t[i * 128 : (i + 1) * 128]), 0] for i, s in enumerate(parts)]
         assert np.allclose(np.concatenate(each).mean(axis=0), p, atol=1e-4)
+
+
+def test_shape_of_whole_words():
+    both = quality.Features()
+    head = b"a" * 64
+    shape = lambda word: both[word] & 0xFFFFF
+    assert shape(head + b"9A=") == shape(b"a9A=") != shape(head)
+    assert shape(b"x1" * 40 + b"!") == shape(b"y2" * 40 + b"!") != shape(b"x1" * 40)

@@ -35,7 +35,7 @@ class Features(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        shape = word[:64]
+        shape = word
         for run, to in _runs:
             shape = run.sub(to, shape)
         self[word] = both = (zlib.crc32(word.lower()) % BUCKETS) << 20 | zlib.crc32(b"shape " + shape) % BUCKETS
