@@ -95,3 +95,54 @@ def test_sign_codes(spark):
     rows = [(1, [0.5, -1.0, float("nan"), 2.0]), (2, None), (3, [1.0] * 63 + [2.0]), (4, [1.0] + [0.0] * 63 + [-2.0, 3.0]), (5, [None, 1.0])]
     got = {r.id: r.code for r in search.sign_codes(spark.createDataFrame(rows, "v long, e array<float>"), "v", "e").collect()}
     assert got == {1: 0b1001, 3: -1, 4: 0b10, 5: 0b10}
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_search_of_many_codes(spark, clustered):
+    """50,000 codes: every query ends by its radii; none is compared with all codes."""
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    if clustered:
+        centres = codes[rng.integers(0, 900, len(codes))]
+        flips = rng.random((len(codes), 64)) < 0.06
+        codes = centres ^ np.packbits(flips, axis=1, bitorder="little").view("<u8").ravel()
+        codes[:20_000] = (codes[:20_000] & ~np.uint64(0xFFFF)) | np.uint64(77)  # a segment value that many codes share
+    rows = [(i, int(c)) for i, c in enumerate(codes.view(np.int64).tolist())]
+    asked = rows[::500]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = {}
+    for r in search.top_k(spark.createDataFrame(asked, "id long, code long"), df, 10, shard_codes=3_000).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbor_id))
+    ids = np.arange(len(codes))
+    for q, _ in asked:
+        d = np.bitwise_count(codes ^ codes[q])
+        order = np.lexsort((ids, d))[:10]
+        assert sorted(got[q]) == [(n + 1, int(d[i]), int(i)) for n, i in enumerate(order)]
+
+
+def test_search_of_outliers_and_clashing_names(spark):
+    """Far queries grow to whole segments; columns of other names are not read, one code may be asked under several ids."""
+    rows = [(i, (1 << (i % 7)) - 1) for i in range(60)]
+    extra = "id long, code long, query long, distance string, ids int, salt int, bound int"
+    table = spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in rows], extra)
+    asked = spark.createDataFrame([(1, -1, 9, "y", 9, 9, 9), (2, -1, 9, "y", 9, 9, 9), (3, None, 9, "y", 9, 9, 9), (None, 5, 9, "y", 9, 9, 9)], extra)
+    got = {}
+    for r in search.top_k(asked, table, 12).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbor_id))
+    want = brute([(1, -1), (2, -1)], rows, 12)
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == want
+
+
+def test_probes_by_flips_and_by_values():
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 1 << 64, 3000, dtype=np.uint64))
+    shard = search.Shard(codes, np.arange(len(codes)), np.ones(len(codes), int), 20, 11)
+    own = shard.value_of(rng.integers(0, 1 << 64, 40, dtype=np.uint64))
+    for radius in range(13):
+        found = [set(), set()]
+        for values in (0, 1):
+            some = search.Shard(codes[:: 50 if values else 1], np.arange(len(codes[:: 50 if values else 1])), np.ones(len(codes[:: 50 if values else 1]), int), 20, 11)
+            for q, v in some.probe(own, radius):
+                found[values] |= set(zip(q.tolist(), some.values[v].tolist(), strict=True))
+            want = {(q, int(v)) for q in range(40) for v in some.values if int(v ^ own[q]).bit_count() == radius}
+            assert found[values] == want
