@@ -134,3 +134,95 @@ def test_shape_of_whole_words():
     shape = lambda word: both[word] & 0xFFFFF
     assert shape(head + b"9A=") == shape(b"a9A=") != shape(head)
     assert shape(b"x1" * 40 + b"!") == shape(b"y2" * 40 + b"!") != shape(b"x1" * 40)
+
+
+def test_cnn_gradients():
+    """Against finite differences of the weighted log loss; double precision, no ties of maxima."""
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 50, (n, 1 + len(toxicity.PREFIXES))) for n in (1, 2, 6, 9)]
+    y, weights = np.array([1, 0, 1, 0]), np.array([2.0, 1.0, 2.0, 1.0])
+    net = toxicity.Cnn(rng.normal(0, 0.5, (50, toxicity.DIM)), [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], [rng.normal(0, 0.1, toxicity.FILTERS) for _ in toxicity.WIDTHS], rng.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)), 0.2)
+
+    def loss():
+        table, biases = net.folded()
+        total = 0.0
+        for t, label, weight in zip(texts, y, weights, strict=True):
+            h, _ = toxicity.pooled(len(t), lambda a, b, t=t: table[t[a:b]].sum(axis=1), biases)
+            z = float(h @ net.out + net.out_bias)
+            total += weight * (np.log1p(np.exp(z)) - label * z)
+        return total
+
+    def slope(array, place):
+        array[place] += 1e-6
+        up = loss()
+        array[place] -= 2e-6
+        down = loss()
+        array[place] += 1e-6
+        return (up - down) / 2e-6
+
+    (words, g_e), rest, g_ob = toxicity.gradients(net, texts, y, weights, net.folded())
+    g_all = np.zeros_like(net.embedding)
+    g_all[words] = g_e
+    for array, g in [(net.embedding, g_all), *zip([*net.filters, *net.biases, net.out], rest, strict=True)]:
+        for place in zip(*(rng.integers(0, n, 12) for n in array.shape), strict=True):
+            assert g[place] == pytest.approx(slope(array, place), abs=1e-5)
+    net.out_bias += 1e-6
+    up = loss()
+    net.out_bias -= 2e-6
+    assert g_ob == pytest.approx((up - loss()) / 2e-6, abs=1e-5)
+
+
+def test_ordinal_gradients():
+    rng = np.random.default_rng(1)
+    model = quality.Ordinal(rng.normal(size=20), np.array([-1.0, 0.3, 0.9]), [0, 1, 2, 3])
+    at, value = np.array([2, 5, 9]), rng.random(3)
+    for y in range(4):
+        loss = lambda y=y: -np.log(model.probabilities(np.array([model.weights[at] @ value]))[0, y])
+        g, g_t = quality.gradients(model, at, value, y)
+        for array, place, want in [(model.weights, 2, g * value[0]), (model.weights, 9, g * value[2]), *((model.thresholds, j, g_t[j]) for j in range(3))]:
+            array[place] += 1e-6
+            up = loss()
+            array[place] -= 2e-6
+            down = loss()
+            array[place] += 1e-6
+            assert want == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_few_labels_are_enough(spark):
+    """Held-out documents of the small tables: most toxic ones are found, few clean ones flagged."""
+    docs, labels = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in toxicity.toxicity(docs, labels).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert sum(p for t, p in held if t) >= 0.6 * sum(t for t, _ in held) and sum(p for t, p in held if not t) <= 0.03 * len(held)
+
+
+def test_samples_have_no_length_cut(spark):
+    """Labels that sit on long texts only still train; one doc_id with several texts gives the same sample each time."""
+    from weftline.llm.common import labelled_sample, sample_rows
+
+    rows = [(i, ("scum " if i % 2 else "river ") * 6_000, "en" if i % 2 else "de") for i in range(40)] + [(3, "another", "en"), (3, "again", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id != 3)
+    sample = labelled_sample(docs, labels, "toxic", 100, 10**9)
+    assert len(sample) == 40 and sample[3]["text"] == "again" and labelled_sample(docs.repartition(3), labels, "toxic", 100, 10**9) == sample
+    assert len(labelled_sample(docs, labels, "toxic", 7, 10**9)) == 7 and sum(len(r["text"]) for r in labelled_sample(docs, labels, "toxic", 100, 100_000)) <= 100_000
+    model = langid.fit(docs)
+    assert model.langs == ["de", "en"]
+    assert {r["lang"] for r in sample_rows(docs, "doc_id", 5, "lang", 1)} == {"en"}
+    assert langid.fit(docs, train_langs=1).langs == ["en"]
+
+
+def test_letters():
+    assert not any(langid.has_letter(t) for t in ("", "½ ² Ⅳ ①", "12_34 .", "٣")) and all(langid.has_letter(t) for t in ("1a", "é", "日", "ª"))
+
+
+def test_clashing_names(spark, tables):
+    docs, labels, *_ = tables
+    with pytest.raises(ValueError):
+        quality.quality(docs.withColumnRenamed("score", "expected_grade"), quality.fit(docs, labels))
+    extra = docs.limit(30).selectExpr("*", "1 AS lang_pred", "2 AS held_out", "3 AS predicted", "4 AS expected_grade", "5 AS tail_probability", "6 AS y", "7 AS _n", "8 AS _salt")
+    found = langid.language(extra.where("doc_id < 10000"))
+    assert found.columns == ["doc_id", "held_out", "lang_pred", "score"] and found.count() == extra.where("doc_id < 10000").count()
+    assert quality.scored(extra, labels).count() == 30 and toxicity.toxicity(extra, labels).count() == 30

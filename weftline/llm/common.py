@@ -1,9 +1,10 @@
-"""What the training-data operators share: written tables, bounded samples, salted joins, connected components."""
+"""What the training-data operators share: written tables, bounded samples, joins of hot keys, connected components."""
 
 from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast: some 16 MB of keys and numbers.
 BROADCAST_ROWS = 200_000
+#: Rows of one key from which a join goes by broadcast: at most rows / HOT_ROWS keys are that hot.
+HOT_ROWS = 1_000_000
 
 _folders: dict[str, str] = {}
 
@@ -23,11 +26,16 @@ _folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application's own under ``spark.checkpoint.dir``, removed when the driver ends.
 
-    Where that setting is absent (tests in local mode), a folder on the driver's machine takes its place.
+    Where that setting is absent in local mode (tests), a folder on this machine takes its place; on a cluster that
+    would be another folder on each machine, so there it is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftline-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+            base = "file://" + tempfile.mkdtemp(prefix="weftline-")
         _folders[app] = f"{base.rstrip('/')}/weftline-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(remove, spark, _folders[app])
     return _folders[app]
@@ -78,30 +86,52 @@ def fits_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def sample_rows(df: DataFrame, key: str, n: int, strata: str | None = None) -> list:
-    """At most ``n`` rows (of each stratum), always the same ones: those of the smallest hashed key, collected.
+def sample_rows(df: DataFrame, key: str, n: int, strata: str, most_strata: int) -> list:
+    """(key, text, stratum), collected: at most ``n`` keys of each of the ``most_strata`` largest strata.
 
-    A stratum may hold most of the rows: each is first thinned within 64 salts, so no task sorts a whole one.
+    Always the same ones: the keys of the smallest hashes, strata that tie by name, and of a key's rows the least by
+    text. A stratum may hold most of the rows: each is first thinned within 64 salts, so no task sorts a whole one.
     """
-    rank = F.xxhash64(F.col(key), F.lit("sample"))
-    if strata is None:
-        return df.orderBy(rank, F.col(key)).limit(n).collect()
-    order = [F.col("_rank"), F.col(key)]
-    keys = df.select(key, strata).distinct().withColumn("_rank", rank).withColumn("_salt", F.pmod(F.hash(key), F.lit(64)))
+    largest = [r[strata] for r in df.groupBy(strata).count().orderBy(F.desc("count"), strata).limit(most_strata).collect()]
+    order = [F.xxhash64(F.col(key), F.lit("sample")), F.col(key)]
+    keys = df.where(F.col(strata).isin(largest)).select(key, strata).distinct().withColumn("_salt", F.pmod(F.hash(key), F.lit(64)))
     for part in ([strata, "_salt"], [strata]):
         keys = keys.withColumn("_n", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_n") <= n)
-    return df.join(F.broadcast(keys.select(key, strata)), [key, strata], "left_semi").collect()
+    chosen = df.join(F.broadcast(keys.select(key, strata)), [key, strata], "left_semi")  # most_strata * n keys at most
+    return chosen.groupBy(key).agg(F.min(F.struct("text", strata)).alias("r")).select(key, "r.text", f"r.{strata}").orderBy(key).collect()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, n: int, max_chars: int) -> list:
-    """At most ``n`` labelled documents (doc_id, text, y), texts of at most ``max_chars`` characters.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, n: int, chars: int) -> list:
+    """Labelled documents (doc_id, text, y) in the order of doc_id: at most ``n`` of them and ``chars`` characters.
 
-    Nulls are no labels; where a doc_id has several labels the largest counts.
+    Taken in the order of the hashed doc_id; a document that no longer fits is passed over for the next that does, so
+    long texts are in the sample while there is room. Nulls are no labels; where a doc_id has several labels the
+    largest counts, where it has several texts the least.
     """
     given = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    chosen = given.join(docs.select("doc_id", F.length("text").alias("_n")).where(F.col("_n") <= max_chars), "doc_id").select("doc_id", "y").distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(n)
-    return docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    sizes = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("_n"))
+    there = given.join(sizes, "doc_id").groupBy("doc_id", "y").agg(F.max("_n").alias("_n"))
+    room, chosen = chars, []
+    for r in there.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(n).collect():
+        if r["_n"] <= room:
+            room -= r["_n"]
+            chosen.append((r["doc_id"], r["y"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, given.schema)
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id").collect()
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, hot: int = HOT_ROWS) -> DataFrame:
+    """left join right on ``key``, which right has once each, with the number of left's rows of that key in ``rows``.
+
+    Left, of ``total`` rows, may have most of them under one key: keys of over ``hot`` rows, at most total / hot of
+    them, are broadcast and their rows stay where they are; the others meet by shuffle. Left is then read twice.
+    """
+    if total <= hot:
+        return left.join(right.drop(rows), key)
+    few = right.where(F.col(rows) > hot).drop(rows)
+    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(F.col(rows) <= hot).drop(rows), key)
+    return left.join(F.broadcast(few), key).unionByName(rest)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -110,30 +140,31 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hot: int = HOT_ROWS) -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is the component's smallest node.
 
     Alternates large-star and small-star steps, each an aggregation and a join, until the edges no longer change;
-    the tables are written between steps and nothing but two sums reaches the driver.
+    the tables are written between steps and nothing but two sums reaches the driver. A hub's edges are joined
+    where they are, see ``joined``.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     now, path = at(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    spark, before = edges.sparkSession, None
+    spark, before, total = edges.sparkSession, None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         # large star: each larger neighbour of a node is tied to the smallest node around it
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined(both.where("b > a"), low, "a", "n", 2 * total, hot).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large, step = at(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         # small star: the smaller neighbours of a node and the node itself are tied to the smallest of them
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = joined(large, least, "a", "n", 2 * total, hot).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         after, new = at(small.where("a <> b").distinct(), "small-star")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         for old in (path, step):
             remove(spark, old)
         if state == before:
             break
-        now, path, before = after, new, state
+        now, path, before, total = after, new, state, state[0]
     roots = after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -23,7 +23,8 @@ from .common import labelled_sample, remainder, send, slices
 BUCKETS = 1 << 16
 #: The last buckets are kept for repetition: a word like the one before it; a line seen before in the text, by words.
 _SAME_WORD, _SAME_LINE = BUCKETS, BUCKETS + 1
-TRAIN_ROWS, TRAIN_CHARS = 8_000, 30_000
+#: Bounds of the training sample: rated documents, and characters of all of them.
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 24_000_000
 EPOCHS, RATE, DECAY = 8, 0.3, 1e-4
 _FOLD = 1 << 14
 _runs = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"(.)\1+"), rb"\1")]
@@ -74,6 +75,21 @@ class Ordinal:
         return np.diff(np.c_[np.zeros(len(position)), below, np.ones(len(position))], axis=1)
 
 
+def gradients(model: Ordinal, at: np.ndarray, value: np.ndarray, y: int) -> tuple[float, np.ndarray]:
+    """Of -log P(grade y) by the position (weights[at] @ value) and by the thresholds."""
+    s = float(model.weights[at] @ value)
+    below = 1 / (1 + np.exp(-np.clip(np.r_[-np.inf, model.thresholds, np.inf] - s, -30, 30)))
+    below[0], below[-1] = 0, 1
+    slope = below * (1 - below)
+    p = max(below[y + 1] - below[y], 1e-9)
+    by_threshold = np.zeros(len(model.thresholds))
+    if y < len(model.thresholds):
+        by_threshold[y] -= slope[y + 1] / p
+    if y > 0:
+        by_threshold[y - 1] += slope[y] / p
+    return (slope[y + 1] - slope[y]) / p, by_threshold
+
+
 def train(texts: list[tuple[np.ndarray, int, int]], y: np.ndarray, grades: list[int], seed: int = 42) -> Ordinal:
     """Adaptive gradient steps on the log-likelihood of the grades; thresholds are kept in order by their gaps."""
     rng = np.random.default_rng(seed)
@@ -87,23 +103,13 @@ def train(texts: list[tuple[np.ndarray, int, int]], y: np.ndarray, grades: list[
         value[at == _SAME_WORD], value[at == _SAME_LINE] = same_word, same_line
         sparse.append((at, value / max(1, len(ids))))
     seen, seen_t = np.full(BUCKETS + 2, 1e-8, np.float32), np.full(k - 1, 1e-8)
-    for epoch in range(EPOCHS):
+    for _ in range(EPOCHS):
         for i in rng.permutation(len(sparse)):
             at, value = sparse[i]
-            s = float(model.weights[at] @ value)
-            below = 1 / (1 + np.exp(-np.clip(np.r_[-np.inf, model.thresholds, np.inf] - s, -30, 30)))
-            below[0], below[-1] = 0, 1
-            slope = below * (1 - below)
-            p = max(below[y[i] + 1] - below[y[i]], 1e-9)
-            g = (slope[y[i] + 1] - slope[y[i]]) / p  # of -log p by s
+            g, g_t = gradients(model, at, value, int(y[i]))
             grad = g * value + DECAY * model.weights[at]
             seen[at] += grad * grad
             model.weights[at] -= RATE * grad / np.sqrt(seen[at])
-            g_t = np.zeros(k - 1)
-            if y[i] < k - 1:
-                g_t[y[i]] -= slope[y[i] + 1] / p
-            if y[i] > 0:
-                g_t[y[i] - 1] += slope[y[i]] / p
             seen_t += g_t * g_t
             model.thresholds = np.maximum.accumulate(model.thresholds - 0.1 * g_t / np.sqrt(seen_t + 1))
     return model
@@ -119,29 +125,36 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     return train([features.of(r["text"]) for r in rows], np.array([grades.index(r["y"]) for r in rows]), grades)
 
 
-def quality(docs: DataFrame, model: Ordinal, tail_from: int | None = None) -> DataFrame:
-    """All columns of documents and expected_grade, tail_probability (of a grade of ``tail_from``, the highest, or more).
+RESULTS = ("expected_grade", "tail_probability")
+
 
-    Null and empty texts have no features: position 0 of the scale. Ties, repeated rows and nulls elsewhere change
-    nothing; an empty table gives no rows; columns named like the results are replaced.
+def quality(docs: DataFrame, model: Ordinal, tail_from: int | None = None, names: tuple[str, str] = RESULTS) -> DataFrame:
+    """All columns of documents and two more: the expected grade, and the probability of a grade of ``tail_from`` (the highest) or more.
+
+    Null and empty texts have no features: position 0 of the scale. Very long texts are summed in folds, whole. Ties,
+    repeated rows and nulls elsewhere change nothing; an empty table gives no rows. A column of documents that has one
+    of the ``names`` is an error, as either of the two would be lost; give other names then.
     """
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"documents already have {', '.join(sorted(clash))}; give other names")
     sent = send(docs.sparkSession, model)
     first = model.grades.index(tail_from) if tail_from is not None else len(model.grades) - 1
-    rest = docs.drop("expected_grade", "tail_probability")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, model = Features(), sent()
         for batch in batches:
             for part in slices(batch):
                 p = model.probabilities(np.array([model.position(features.of(t)) for t in part.column("text").to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p @ np.array(model.grades, float)), pa.array(p[:, first:].sum(axis=1))], [*part.schema.names, "expected_grade", "tail_probability"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p @ np.array(model.grades, float)), pa.array(p[:, first:].sum(axis=1))], [*part.schema.names, *names])
 
-    more = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())]
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *more]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents, in their own columns, whose probability of the highest grade is at least ``least``."""
+    """The documents, in their own columns, whose probability of the highest grade is at least ``least``.
+
+    As in ``quality``; null and empty texts stay or go by the grades' own shares, repeated rows stay or go together.
+    """
     sent = send(docs.sparkSession, fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +168,7 @@ def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
 
 
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, expected_grade, tail_probability, kept) for every row."""
+    """(doc_id, held_out, expected_grade, tail_probability, kept) for every row; other columns but text are not read."""
     found = quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
     held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= least).alias("kept"))

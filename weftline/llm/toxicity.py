@@ -22,9 +22,14 @@ from .common import labelled_sample, remainder, send, slices
 #: Hashed words, numbers of an embedding, filter widths, filters of each width.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 PREFIXES = (3, 4, 5, 6, 7)
-#: Bounds of the training sample: labelled documents, and characters of one.
-TRAIN_ROWS, TRAIN_CHARS = 8_000, 10_000
-EPOCHS, RATE = 3, 0.05
+#: Bounds of the training sample: labelled documents, and characters of all of them.
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 24_000_000
+#: Passes over the sample, or as many more as make so many steps of BATCH texts.
+EPOCHS, STEPS, BATCH, RATE = 3, 200, 32, 0.05
+#: Most weight of a row of the rarer class; steps between two foldings of the embedding into the table used for search.
+RARE, FOLDED_FOR = 2.0, 4
+#: Of the embedding's first number, for each deviation of evidence.
+EVIDENCE, MOST_EVIDENCE = 0.1, 1.0
 _FOLD, _REMEMBERED = 4096, 150_000
 
 
@@ -68,7 +73,7 @@ class Cnn:
     def folded(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """A word's numbers: for each width and each of its places, what the word adds to each filter there."""
         columns = [self.embedding @ f[k] for f in self.filters for k in range(len(f))]
-        return np.concatenate(columns, axis=1).astype(np.float32), self.biases
+        return np.concatenate(columns, axis=1), self.biases
 
 
 def pooled(length: int, rows_of: Callable[[int, int], np.ndarray], biases: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -77,7 +82,7 @@ def pooled(length: int, rows_of: Callable[[int, int], np.ndarray], biases: list[
     ``rows_of`` gives the folded numbers of a stretch of words; long texts go through in folds that overlap by the
     widest filter, so memory stays bounded.
     """
-    best = [np.full(FILTERS, -np.inf, np.float32) for _ in WIDTHS]
+    best = [np.full(FILTERS, -np.inf, b.dtype) for b in biases]
     where = [np.zeros(FILTERS, np.int64) for _ in WIDTHS]
     for begin in range(0, length, _FOLD):
         rows = rows_of(begin, min(length, begin + _FOLD + max(WIDTHS) - 1))
@@ -94,54 +99,87 @@ def pooled(length: int, rows_of: Callable[[int, int], np.ndarray], biases: list[
                 best[n] = np.where(better, top, best[n])
                 where[n] = np.where(better, at + begin, where[n])
             column += width * FILTERS
-    values = [np.maximum(b + c, 0).astype(np.float32) for b, c in zip(best, biases, strict=True)]
+    values = [np.maximum(b + c, 0) for b, c in zip(best, biases, strict=True)]
     return np.concatenate(values), where
 
 
+def gradients(net: Cnn, batch: list[np.ndarray], y: np.ndarray, weights: np.ndarray, folded: tuple[np.ndarray, list[np.ndarray]]) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray], float]:
+    """Of the weighted log loss of some texts: (words, their gradients) of the embedding, of filters, biases and out, of the out bias.
+
+    The gradient reaches the words under each filter's maximum.
+    """
+    table, biases = folded
+    g_f, g_b, g_o, g_ob = [np.zeros_like(f) for f in net.filters], [np.zeros_like(b) for b in net.biases], np.zeros_like(net.out), 0.0
+    touched, pulls = [np.zeros((0, 1 + len(PREFIXES)), np.int64)], [np.zeros((0, DIM), np.float32)]
+    for ids, label, weight in zip(batch, y, weights, strict=True):
+        h, where = pooled(len(ids), lambda a, b, ids=ids: table[ids[a:b]].sum(axis=1), biases)
+        p = 1 / (1 + np.exp(-float(np.clip(h @ net.out + net.out_bias, -30, 30))))
+        d = weight * (p - label)
+        g_o += d * h
+        g_ob += d
+        dh = d * net.out * (h > 0)
+        for n, width in enumerate(WIDTHS):
+            if len(ids) < width:
+                continue
+            g = dh[n * FILTERS : (n + 1) * FILTERS]
+            g_b[n] += g
+            words = ids[where[n][:, None] + np.arange(width)]  # filters x width x ids of a word
+            g_f[n] += (net.embedding[words].sum(axis=2) * g[:, None, None]).transpose(1, 2, 0)
+            touched.append(words.reshape(-1, words.shape[2]))
+            pulls.append((net.filters[n] * g).transpose(2, 0, 1).reshape(-1, DIM))
+    words, of = np.unique(np.concatenate(touched), return_inverse=True)
+    pull = np.repeat(np.concatenate(pulls), 1 + len(PREFIXES), axis=0)
+    g = np.stack([np.bincount(of.ravel(), pull[:, j], len(words)) for j in range(DIM)], axis=1)
+    return (words, g.astype(net.embedding.dtype)), [*g_f, *g_b, g_o], g_ob
+
+
+def evidence(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """For each hashed id, how far the texts of class 1 that have it are from its share of all texts, in deviations."""
+    n = [np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)]
+    for ids, label in zip(texts, y, strict=True):
+        n[int(label)][np.unique(ids)] += 1
+    expected = (n[0] + n[1]) * (y.mean() if len(y) else 0)
+    return (n[1] - expected) / np.sqrt(expected + 1)
+
+
+def untrained(texts: list[np.ndarray], y: np.ndarray, seed: int = 42) -> Cnn:
+    """Small random embeddings, but for the first number, which is the word's evidence: so the filters' maxima lie on
+    telling words from the first step on, also where labels are few and most words are seen once."""
+    rng = np.random.default_rng(seed)
+    embedding = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+    embedding[:, 0] += np.clip(EVIDENCE * evidence(texts, y), -MOST_EVIDENCE, MOST_EVIDENCE)
+    filters = [rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    for f in filters:
+        f[:, 0] = np.abs(f[:, 0]) / len(f)
+    return Cnn(embedding, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], np.abs(rng.normal(0, 0.3, FILTERS * len(WIDTHS))).astype(np.float32), 0.0)
+
+
 def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 42) -> Cnn:
-    """Backpropagation by adaptive gradient steps; the gradient reaches the words under each filter's maximum.
+    """Backpropagation by adaptive gradient steps, at least STEPS of them however few the texts are.
 
-    A text is an array of its words' ids, words x (1 + PREFIXES).
+    A text is an array of its words' ids, words x (1 + PREFIXES). A rare class weighs up to RARE times as much.
     """
     rng = np.random.default_rng(seed)
-    net = Cnn(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), [rng.normal(0, 0.4, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0)
+    net = untrained(texts, y, seed)
     seen = [np.full_like(net.embedding, 1e-6), *[np.full_like(f, 1e-6) for f in net.filters], *[np.full_like(b, 1e-6) for b in net.biases], np.full_like(net.out, 1e-6)]
     seen_bias = 1e-6
     if not len(texts):
         return net
-    net.out_bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    for epoch in range(EPOCHS):
-        rate = RATE / (1 + epoch) ** 0.5
+    ones, zeros = int(y.sum()), int(len(y) - y.sum())
+    weight = np.where(y == 1, min(RARE, max(1.0, zeros / max(1, ones))), min(RARE, max(1.0, ones / max(1, zeros)))).astype(np.float32)
+    net.out_bias = float(np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1)))
+    epochs, step = max(EPOCHS, -(-STEPS * BATCH // len(texts))), 0
+    for epoch in range(epochs):
+        rate = RATE / (1 + epoch * EPOCHS / epochs) ** 0.5
         order = rng.permutation(len(texts))
-        for begin in range(0, len(order), 32):
-            part = order[begin : begin + 32]
-            table, biases = net.folded() if begin % 128 == 0 else (table, biases)  # noqa: F821
-            g_f, g_b, g_o, g_ob = [np.zeros_like(f) for f in net.filters], [np.zeros_like(b) for b in net.biases], np.zeros_like(net.out), 0.0
-            touched, pulls = [], []
-            for i in part:
-                ids = texts[i]
-                h, where = pooled(len(ids), lambda a, b, ids=ids: table[ids[a:b]].sum(axis=1), biases)
-                p = 1 / (1 + np.exp(-float(np.clip(h @ net.out + net.out_bias, -30, 30))))
-                d = p - y[i]
-                g_o += d * h
-                g_ob += d
-                dh = d * net.out * (h > 0)
-                for n, width in enumerate(WIDTHS):
-                    if len(ids) < width:
-                        continue
-                    g = dh[n * FILTERS : (n + 1) * FILTERS]
-                    g_b[n] += g
-                    words = ids[where[n][:, None] + np.arange(width)]  # filters x width x ids of a word
-                    g_f[n] += (net.embedding[words].sum(axis=2) * g[:, None, None]).transpose(1, 2, 0)
-                    touched.append(words.reshape(-1, words.shape[2]))
-                    pulls.append((net.filters[n] * g).transpose(2, 0, 1).reshape(-1, DIM))
-            if touched:
-                words, of = np.unique(np.concatenate(touched), return_inverse=True)
-                pull = np.repeat(np.concatenate(pulls), 1 + len(PREFIXES), axis=0)
-                g = np.stack([np.bincount(of.ravel(), pull[:, j], len(words)) for j in range(DIM)], axis=1).astype(np.float32)
-                seen[0][words] += g * g
-                net.embedding[words] -= rate * g / np.sqrt(seen[0][words])
-            for p_, g, s in zip([*net.filters, *net.biases, net.out], [*g_f, *g_b, g_o], seen[1:], strict=True):
+        for begin in range(0, len(order), BATCH):
+            part = order[begin : begin + BATCH]
+            folded = net.folded() if step % FOLDED_FOR == 0 else folded  # noqa: F821
+            step += 1
+            (words, g), rest, g_ob = gradients(net, [texts[i] for i in part], y[part], weight[part], folded)
+            seen[0][words] += g * g
+            net.embedding[words] -= rate * g / np.sqrt(seen[0][words])
+            for p_, g, s in zip([*net.filters, *net.biases, net.out], rest, seen[1:], strict=True):
                 s += g * g
                 p_ -= rate * g / np.sqrt(s)
             seen_bias += g_ob * g_ob
@@ -189,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
     langs = {}
     if chosen and "lang" in docs.columns:
         ids = spark.createDataFrame([(int(i),) for i in chosen], "doc_id long")
-        langs = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()}
+        langs = dict(docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("lang")).collect())
     return net, calibrate(scores, y[apart], [langs.get(i) for i in chosen])
 
 
@@ -203,8 +241,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
 
     The score depends on the text alone. ``predicted`` cuts it at 0.5; ``toxic_for_lang`` at the threshold calibrated
     for the row's language, or for all where the language is null, rare in the sample or missing.
-    Null and empty texts get the score of no words. A null doc_id is not held out. Ties and repeated rows score
-    alike. Without labels every score is that of an untrained network and thresholds are 0.5; an empty table gives none.
+    Null and empty texts get the score of no words; very long texts go through in folds of 4,096 words, whole.
+    A null doc_id is not held out. Ties and repeated rows score alike; of rows that share a labelled doc_id the least
+    text trains, so reruns agree. Without labels every score is that of an untrained network and thresholds are 0.5; an
+    empty table gives no rows. Columns beside doc_id, text and lang are not read.
     """
     net, thresholds = fit(docs, labels, train_rows, train_chars)
     spark = docs.sparkSession
