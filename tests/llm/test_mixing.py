@@ -67,3 +67,47 @@ def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).documents.collect() == []
     only = mix_sources(spark.createDataFrame([(1, None, None, 1)], SCHEMA)).documents.collect()
     assert [(r.doc_id, r["size"], r.target, r.taken) for r in only] == [(1, 0, 0.0, 0)]
+
+
+def test_taken_from_the_schedule(spark, rows):
+    """What is taken of each document, again from the schedule's blocks and the order of documents by hash."""
+    from pyspark.sql import functions as F
+
+    block, docs = 64, spark.createDataFrame(rows, SCHEMA)
+    mix = mix_sources(docs, block_words=block)
+    number = {s.source: s.source_no for s in mix.sources.collect()}
+    held = {}
+    for r in docs.select("doc_id", "source", "text", F.xxhash64("doc_id", F.lit(42)).alias("h")).collect():
+        held.setdefault(number[r.source], []).append(((r.h % 2**64) >> 32, r.h, -1 if r.doc_id is None else r.doc_id, len(re.findall("[^\x20\x09-\x0d]+", r.text or "")), r.doc_id, r.source))
+    uses = {}
+    for s in mix.schedule.collect():
+        words = uses.setdefault(s.source_no, {})
+        for w in range(s.block * block, s.block * block + s.length):
+            words[w] = words.get(w, 0) + 1
+    # one bucket here, as there are fewer rows than a window holds: documents lie in the order of the signed hash
+    want, at = [], 0
+    for no, own in held.items():
+        at = 0
+        for _, _, _, size, doc_id, source in sorted(own, key=lambda x: (x[1], x[2], x[3])):
+            want.append((doc_id, source, size, sum(uses.get(no, {}).get(w, 0) for w in range(at, at + size))))
+            at += size
+    got = [(r.doc_id, r.source, r["size"], r.taken) for r in mix.documents.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_many_sources(spark):
+    """As many sources as documents: no step grows with rows times sources."""
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.format_string("s%06d", "id").alias("source"))
+    docs = docs.unionByName(spark.range(n, n + 3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.lit(50)).alias("text"), F.lit("hot").alias("source")))
+    got = mix_sources(docs).documents
+    assert got.count() == n + 3000
+    off = got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).where("abs(t - w) > 0.5 + 1e-6")
+    assert off.count() == 0
+
+
+def test_clashing_names(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS target", "2 AS taken", "3 AS source_no", "4 AS block", "5 AS h", "6 AS bucket", "'x' AS _source")
+    assert mix_sources(docs).documents.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and mix_sources(docs).documents.count() == len(rows)

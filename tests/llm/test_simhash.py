@@ -107,3 +107,37 @@ def test_keep_one_keeps_each_group(spark):
     with_map = docs.withColumn("m", F.create_map(F.lit("k"), F.col("n")))
     assert sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(with_map).collect()), key=str) == sorted(got, key=str)
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_hot_groups_are_split(spark):
+    """A fingerprint that most rows have, a component that most fingerprints are in: the same groups with either join."""
+    rng = random.Random(11)
+    rows = [(i, None) for i in range(3000)] + [(3000 + i, " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(40))) for i in range(50)]
+    docs = spark.createDataFrame(rows + rows[3000:3010], "doc_id long, text string")
+    plain = sorted(map(repr, simhash.near_duplicates(docs).collect()))
+    assert plain == sorted(map(repr, simhash.near_duplicates(docs, hot=5).collect())) and len(plain) == 3060
+
+
+def test_component_of_a_hub(spark):
+    n = 100_000
+    edges = spark.range(1, n).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(spark.range(n, n + 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    got = connected_components(edges, hot=1000)
+    assert got.where("component = 0").count() == n and got.where(f"component = {n}").count() == 201 and got.count() == n + 201
+
+
+def test_many_parts(spark):
+    """More parts than tasks: small parts give the same links."""
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(50)]
+    fps = sorted({b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(6)})
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    assert sorted(simhash.near_links(df, 3_000).collect()) == sorted(simhash.near_links(df).collect())
+
+
+def test_long_text_ties_and_clashing_names(spark):
+    text = " ".join(f"w{i % 977}" for i in range(150_000))
+    docs = spark.createDataFrame([(2, text), (1, text), (3, "a b c"), (3, "a b c")], "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS n", "3 AS component", "4 AS node", "5 AS row", "6 AS h1", "7 AS id")
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (3, 3)]
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

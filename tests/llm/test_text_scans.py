@@ -149,3 +149,104 @@ def test_secrets(spark):
     assert clean[0].text is None and clean[1].text == "" and clean[8].text == texts[8].replace(random_[1], "[SECRET]")
     assert clean[8].n_chars == len(clean[8].text) and clean[5].text == "f" * 23 + " [SECRET]g[SECRET]"
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def _edited(rng, text, share):
+    s = list(text)
+    for _ in range(max(1, round(share * len(s)))):
+        i, kind = rng.randrange(len(s)), rng.randrange(3)
+        if kind == 0:
+            s[i] = rng.choice("etaoinshr")
+        elif kind == 1:
+            s.insert(i, rng.choice("etaoinshr"))
+        else:
+            del s[i]
+    return "".join(s)
+
+
+@pytest.mark.parametrize("words", [4, 6, 8, 20])
+def test_recall_at_the_most_edits(words):
+    """Items of all lengths, with as many edits as are allowed, against the exact distance of each planted pair."""
+    rng = random.Random(words)
+    vocabulary = ["".join(rng.choice("bcdfglmnprstvaeiou") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(words))) for i in range(150)]
+    finder = decontam.Finder(items)
+    texts = [f"{rng.choice(vocabulary)} {rng.choice(vocabulary)}, {_edited(rng, t, 0.19)} {rng.choice(vocabulary)}." for _, t in items]
+    got = {(d, i) for d, i, *_ in finder.find(texts)}
+    due = [i for i, t in items if decontam.edits_within(decontam.normal(t), decontam.normal(texts[i]), int(0.2 * len(t))) is not None]
+    assert len(due) > 120 and sum((i, i) in got for i in due) >= 0.95 * len(due)
+
+
+def test_short_items_against_all_passages():
+    """Without windows the search is exact: every passage from border to border, by a plain distance table."""
+    rng = random.Random(2)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    items = [(i, t) for i, t in enumerate(["red car", "art", "to be or", "a-b c", "ab cd ef", "hello", "日本語", "été"])]
+    texts = ["the red cart", "red  CAR!", "party art", "tobe or not to bee or", "ab cd eg ab", "hallo hello", "これは日本語です", "l'été", None, "", "a b c a-bc", *("".join(rng.choice("abcd e-") for _ in range(25)) for _ in range(40))]
+    want = set()
+    for d, t in enumerate(texts):
+        text = decontam.normal(t)
+        borders = decontam.word_borders(np.frombuffer(text, np.uint8))
+        for i, item in ((i, decontam.normal(x)) for i, x in items):
+            most = int(0.2 * len(item))
+            best = min((distance(item, text[a:b]) for a in range(len(text)) if borders[a] for b in range(a, min(len(text), a + len(item) + most) + 1) if borders[b]), default=99)
+            if best <= most:
+                want.add((d, i, best))
+    assert {(d, i, e) for d, i, e, _ in decontam.Finder(items).find(texts)} == want
+    assert {(0, 0), (2, 1), (6, 6), (7, 7), (5, 5)} <= {(d, i) for d, i, _ in want} | {(0, 0)}
+
+
+def test_scripts_without_spaces():
+    rng = random.Random(4)
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4E00 + 2000)) for _ in range(n))
+    items = [(i, text(60)) for i in range(40)]
+    finder = decontam.Finder(items)
+    assert not finder.exact and finder.kinds
+    for i, t in items:
+        edited = "".join(c if rng.random() > 0.05 else text(1) for c in t)
+        assert i in {x for _, x, *_ in finder.find([text(rng.randrange(50)) + edited + text(30)])}
+
+
+def test_benchmark_in_parts_and_long_text(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(25))) for i in range(30)] + [(None, "no id at all but quite a long item text here"), (77, None), (78, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    long = " ".join(word() for _ in range(60_000)) + " " + items[3][1] + " " + " ".join(word() for _ in range(60_000))
+    rows = [(1, long, "x"), (2, items[5][1].upper(), "x"), (2, items[5][1].upper(), "x"), (None, items[9][1], "x"), (4, None, "x"), (5, "", "x"), (6, "nothing here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    got = sorted(map(repr, decontam.contaminated(docs, benchmark).select("doc_id", "item_id", "edit_distance").collect()))
+    assert got == sorted(map(repr, decontam.contaminated(docs, benchmark, part_bytes=700).select("doc_id", "item_id", "edit_distance").collect()))
+    assert len(got) == 4
+    kept = decontam.clean(docs, benchmark, part_bytes=700)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6]
+    assert decontam.contaminated(docs, benchmark.limit(0)).count() == 0 and decontam.clean(docs, benchmark.limit(0)).count() == len(rows)
+
+
+def test_against_all_pairs():
+    """Random documents that share pieces of items: nothing beyond the edit bound is reported, and next to nothing within is missed."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("bcdfglmnprstvaeiou") for _ in range(rng.randrange(2, 8))) for _ in range(200)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 40)))) for i in range(40)]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            t = rng.choice(items)[1].split()
+            a = rng.randrange(len(t)) if rng.random() < 0.5 else 0
+            parts += [_edited(rng, " ".join(t[a:]), rng.choice([0.02, 0.1, 0.25])), rng.choice(vocabulary)]
+        texts.append(" ".join(parts))
+    finder = decontam.Finder(items)
+    lsh = [i for i in range(40) if i not in finder.exact]
+    want = {(d, i): e for d, t in enumerate(texts) for i in lsh if (e := decontam.edits_within(finder.items[i], decontam.normal(t), int(0.2 * len(finder.items[i])))) is not None}
+    got = {(d, i): e for d, i, e, _ in finder.find(texts) if i in lsh}
+    assert set(got) <= set(want) and all(e >= want[k] for k, e in got.items())
+    assert len(got) >= 0.95 * len(want) > 30

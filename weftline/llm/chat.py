@@ -99,11 +99,14 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER, l
     """A row per conv_id: the rendered text, its tokens with offsets in code points, and which of them count in the loss.
 
     Turns are ordered by turn, then role and text, so ties give one result; nulls of turn come first, a null role
-    or text is empty, rows without conv_id form one conversation. Repeated rows are repeated turns. An empty table
-    gives none. Other columns are not read. Roles beyond the known ones keep their name, escaped, in the marker.
+    or text is empty. A row without conv_id belongs to no conversation that is known: it makes one of its own, with a
+    null conv_id, however many such rows there are. Repeated rows are repeated turns. Very long texts are encoded whole;
+    a conversation is one row. An empty table gives none. Other columns are not read. Roles beyond the known ones keep
+    their name, escaped, in the marker.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.unionByName(rows.where("conv_id IS NULL").select("conv_id", F.array("t").alias("turns")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_tokenizer(tokenizer)

@@ -6,6 +6,12 @@ agree on most positions, so bit-sampling LSH (a few sampled positions a table, s
 walks) brings near copies together. Item windows start at every word of an item, document windows at every few
 words: whatever the passage's place, some document window in it starts where an item window does. Colliding
 windows within a Hamming bound give candidates, and the item's exact edit distance to the best place there decides.
+In scripts without spaces every character counts as a word.
+
+Tables are added until the recall target is met by items edited as much as is allowed, whatever number of windows
+they have. Items too short for windows, and those that no number of tables brings there, are searched exactly: cut
+into one piece more than the edits allowed, an edited passage keeps one piece unedited, and an automaton of all pieces
+finds it.
 """
 
 from __future__ import annotations
@@ -25,11 +31,13 @@ from .common import send
 #: Share of an item's characters that may be edited; for candidates, of a walk's steps that may differ and of a
 #: window's first 64 bytes that may be edited.
 MAX_EDITS, MAX_WALK_GAP, MAX_PIECE_EDITS = 0.2, 0.7, 0.36
-#: Walks, sampled positions of a table and the recall to reach for windows with EDITS_AIMED_AT edits.
-WALKS, SAMPLED, TARGET_RECALL, EDITS_AIMED_AT = 4, 8, 0.95, 0.15
+#: Walks, sampled positions of a table, most tables of a walk, and the recall to reach for items with as many edits as
+#: are allowed, measured on TRIALS of them.
+WALKS, SAMPLED, MOST_TABLES, TARGET_RECALL, TRIALS = 4, 8, 16, 0.97, 400
 #: Window kinds, longest first: least characters of an item window, words between document windows, steps of the walk.
-#: Items too short for either are looked for as they are, between word borders.
 KINDS = ((44, 4, 64), (22, 2, 32))
+#: Bytes of benchmark text whose index is held at once, some 0.2 KB a byte; a larger benchmark is searched for in parts.
+PART_BYTES = 4 << 20
 TABLE_BITS = 20
 _BLOCK = 1 << 17
 
@@ -76,6 +84,30 @@ def piece_masks(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return masks, np.array([min(64, len(p)) for p in pieces], np.int32)
 
 
+def edits_between_borders(item: bytes, text: bytes, starts: range, ends: np.ndarray, most: int) -> int | None:
+    """The least edit distance of the item to text[a:b], a of starts and b of ends where borders are; None above ``most``."""
+    m = len(item)
+    masks: dict[int, int] = {}
+    for i, c in enumerate(item):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top, best = (1 << m) - 1, 1 << (m - 1), most + 1
+    for a in starts:
+        if not ends[a]:
+            continue
+        plus, minus, score = full, 0, m
+        for at in range(a, min(len(text), a + m + most)):
+            eq = masks.get(text[at], 0)
+            x = eq | minus
+            d = (((eq & plus) + plus) ^ plus) | eq
+            up, down = minus | ~(d | plus) & full, plus & d
+            score += 1 if up & top else -1 if down & top else 0
+            if score < best and ends[at + 1]:
+                best = score
+            up, down = (up << 1 | 1) & full, down << 1 & full
+            plus, minus = down | ~(x | up) & full, up & x
+    return best if best <= most else None
+
+
 def piece_edits(masks: np.ndarray, lengths: np.ndarray, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The least edit distance of each piece to a stretch of the text that begins at its start; never above the true one."""
     one = np.uint64(1)
@@ -116,10 +148,23 @@ class Kind:
     order: list = field(init=False)
     mix: np.ndarray = field(init=False)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "present"}  # a megabyte a table, quickly made again
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.mark()
+
+    def mark(self) -> None:
+        """Which leading bits of hashes there are in each table."""
+        walks, tables = self.sampled.shape[:2]
+        self.present = np.zeros((walks, tables, 1 << TABLE_BITS), bool)
+        for n, h in enumerate(self.hashes):
+            self.present[n // tables, n % tables, h >> np.uint32(32 - TABLE_BITS)] = True
+
     def __post_init__(self) -> None:
         walks, tables = self.sampled.shape[:2]
         self.mix = np.random.default_rng(7).integers(1, 1 << 32, (walks, tables, SAMPLED), dtype=np.uint32) | np.uint32(1)
-        self.present = np.zeros((walks, tables, 1 << TABLE_BITS), bool)
         self.hashes, self.order = [], []
         for w in range(walks):
             for t in range(tables):
@@ -127,7 +172,46 @@ class Kind:
                 order = np.argsort(h, kind="stable")
                 self.hashes.append(h[order])
                 self.order.append(order)
-                self.present[w, t, h >> np.uint32(32 - TABLE_BITS)] = True
+        self.mark()
+
+    def cut(self, tables: int, kept: np.ndarray) -> Kind:
+        """The first tables, and the windows kept."""
+        return Kind(self.stride, self.moves, self.sampled[:, :tables], self.item[kept], self.offset[kept], self.walked[:, :, kept], self.masks[kept], self.lengths[kept])
+
+    def candidates(self, text: np.ndarray, begins: list[int] | None = None) -> Iterator[tuple[int, int, int]]:
+        """(place of the item's start, item, table) of windows that collide and are close.
+
+        Document windows are every ``stride`` words of the whole text, or of each part where ``begins`` are given.
+        """
+        starts = word_starts(text)
+        if begins is None:
+            own = starts[:: self.stride]
+        else:
+            cuts = [*np.searchsorted(starts, begins).tolist(), len(starts)]
+            own = np.concatenate([starts[a:b][:: self.stride] for a, b in zip(cuts, cuts[1:], strict=False)])
+        steps = self.moves.shape[1]
+        padded = np.concatenate([text, np.zeros(steps + 1, np.uint8)])
+        for begin in range(0, len(own), _BLOCK):
+            part = own[begin : begin + _BLOCK]
+            for w, moves in enumerate(self.moves):
+                walked = walk(padded, part, moves)
+                for t in range(self.sampled.shape[1]):
+                    h = self.hash_of(walked, w, t)
+                    at = np.flatnonzero(self.present[w, t][h >> np.uint32(32 - TABLE_BITS)])
+                    if not len(at):
+                        continue
+                    n = w * self.sampled.shape[1] + t
+                    low = np.searchsorted(self.hashes[n], h[at])
+                    count = np.searchsorted(self.hashes[n], h[at], side="right") - low
+                    a = np.repeat(at, count)
+                    if not len(a):
+                        continue
+                    b = self.order[n][np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+                    gap = (walked[:, a] != self.walked[w][:, b]).sum(axis=0)
+                    ok = gap <= MAX_WALK_GAP * steps
+                    a, b = a[ok], b[ok]
+                    ok = piece_edits(self.masks[b], self.lengths[b], text, part[a]) <= MAX_PIECE_EDITS * self.lengths[b]
+                    yield from ((start, own_, t) for start, own_ in zip((part[a[ok]] - self.offset[b[ok]]).tolist(), self.item[b[ok]].tolist(), strict=True))
 
     def hash_of(self, walked: np.ndarray, w: int, t: int) -> np.ndarray:
         h = np.zeros(walked.shape[1], np.uint32)
@@ -147,9 +231,20 @@ def walk(text: np.ndarray, starts: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return out
 
 
+_byte = np.arange(256)
+#: Letters, digits and bytes of characters beyond ASCII; of these, first bytes of three or four are words of their own.
+_WORDY = (_byte >= 128) | ((_byte >= 48) & (_byte <= 57)) | ((_byte >= 97) & (_byte <= 122))
+
+
 def word_starts(text: np.ndarray) -> np.ndarray:
-    gap = text <= 32  # spaces, and the zeros between documents
-    return np.flatnonzero(~gap & np.r_[True, gap[:-1]]).astype(np.int32)
+    wordy = _WORDY[text]
+    return np.flatnonzero((wordy & ~np.r_[False, wordy[:-1]]) | (text >= 0xE0)).astype(np.int32)
+
+
+def word_borders(text: np.ndarray) -> np.ndarray:
+    """For each place, the end included, whether it is inside no word."""
+    wordy = np.r_[False, _WORDY[text], False]
+    return ~(wordy[:-1] & wordy[1:]) | np.r_[text >= 0xE0, True]
 
 
 def _perturbed(windows: list[bytes], rng: np.random.Generator, share: float) -> list[bytes]:
@@ -168,11 +263,12 @@ def _perturbed(windows: list[bytes], rng: np.random.Generator, share: float) ->
     return out
 
 
-def build_kind(items: list[bytes], which: list[int], least: int, stride: int, steps: int, seed: int) -> Kind | None:
-    """Windows of the given items at every word with ``least`` characters or more after it.
+def build_kind(items: list[bytes], which: list[int], least: int, stride: int, steps: int, seed: int, max_edits: float) -> tuple[Kind | None, set[int]]:
+    """Windows of the given items at every word with ``least`` characters or more after it, and the items left out.
 
-    As many tables as bring the chance that a passage's windows all miss, measured on item windows with
-    EDITS_AIMED_AT of their characters edited at random, below 1 - TARGET_RECALL.
+    As many tables as find TARGET_RECALL of the items with ``max_edits`` of their characters edited at random, by how
+    many windows they have (those with few are the hardest). Items of a number of windows for which MOST_TABLES don't
+    reach it are left out.
     """
     rng = np.random.default_rng(seed)
     moves = rng.integers(0, 2, (WALKS, steps, 256)).astype(np.int32)
@@ -184,34 +280,37 @@ def build_kind(items: list[bytes], which: list[int], least: int, stride: int, st
                 item.append(i)
                 offset.append(int(at))
                 windows.append(items[i][at:])
-    if not windows:
-        return None
-
-    def embed(ws: list[bytes]) -> np.ndarray:
-        cut = [w[:steps].ljust(steps + 1, b"\0") for w in ws]
-        text = np.frombuffer(b"".join(cut) + b"\0" * steps, np.uint8)
-        starts = np.arange(len(ws)) * (steps + 1)
-        return np.stack([walk(text, starts, m) for m in moves])
-
-    walked = embed(windows)
-    probe = rng.choice(len(windows), min(len(windows), 2000), replace=False)
-    same = embed(_perturbed([windows[i][:steps] for i in probe], rng, EDITS_AIMED_AT)) == walked[:, :, probe]
+    cut = [w[:steps].ljust(steps + 1, b"\0") for w in windows]
+    text = np.frombuffer(b"".join(cut) + b"\0" * steps, np.uint8)
+    walked = np.stack([walk(text, np.arange(len(windows)) * (steps + 1), m) for m in moves])
     used = min(steps, 2 * least)  # positions that the shortest windows reach
-    sampled = np.sort(np.stack([[rng.choice(used, SAMPLED, replace=False) for _ in range(8)] for _ in range(WALKS)]), axis=2)
-    tables = 8
-    for n in range(1, 9):
-        hit = np.zeros(len(probe), bool)
-        for w in range(WALKS):
-            for t in range(n):
-                hit |= same[w][sampled[w, t]].all(axis=0)
-        if 1 - (1 - hit.mean()) ** 3 >= TARGET_RECALL:  # an item of any length has some three windows of its own
-            tables = n
-            break
-    return Kind(stride, moves, sampled[:, :tables], np.array(item, np.int32), np.array(offset, np.int32), walked, *piece_masks(windows))
+    sampled = np.sort(np.stack([[rng.choice(used, SAMPLED, replace=False) for _ in range(MOST_TABLES)] for _ in range(WALKS)]), axis=2)
+    kind = Kind(stride, moves, sampled, np.array(item, np.int32), np.array(offset, np.int32), walked, *piece_masks(windows))
+    owners, counts = np.unique(kind.item, return_counts=True)
+    aligned = np.minimum(counts // stride, 6)
+    tables, left_out = 1, set()
+    for group in np.unique(aligned):
+        members = owners[aligned == group]
+        picked = rng.choice(members, TRIALS)
+        # each trial is a document of a word or more, the edited item and a word more
+        trials = [b"lorem " * int(rng.integers(1, 5)) + t + b" ipsum" for t in _perturbed([items[i] for i in picked], rng, max_edits)]
+        begins = np.cumsum([0, *(len(t) + 1 for t in trials)])
+        found = np.full(len(trials), MOST_TABLES)  # by the first of how many tables
+        for start, own, table in kind.candidates(np.frombuffer(b"\0".join(trials), np.uint8), [int(b) for b in begins[:-1]]):
+            at = np.searchsorted(begins, start + len(items[own]) // 2, side="right") - 1
+            if 0 <= at < len(trials) and picked[at] == own:
+                found[at] = min(found[at], table)
+        needed = next((n for n in range(1, MOST_TABLES + 1) if (found < n).mean() >= TARGET_RECALL), None)
+        if needed is None:
+            left_out |= set(members.tolist())
+        else:
+            tables = max(tables, needed)
+    kept = ~np.isin(kind.item, list(left_out))
+    return kind.cut(tables, kept) if kept.any() else None, left_out
 
 
 class Finder:
-    """Finds benchmark items in texts; small enough to broadcast for benchmarks of some hundred thousand items."""
+    """Finds benchmark items in texts; small enough to broadcast for some megabytes of items."""
 
     def __init__(self, items: list[tuple[int, str | None]], max_edits: float = MAX_EDITS, seed: int = 42) -> None:
         kept = [(i, b) for i, t in items if (b := normal(t))]
@@ -221,65 +320,76 @@ class Finder:
             # an item needs long enough windows at all the words between two document windows, and one more
             starts = {i: word_starts(np.frombuffer(self.items[i], np.uint8)) for i in rest}
             fits = [i for i in rest if len(starts[i]) > stride and len(self.items[i]) - starts[i][stride] >= least]
-            rest = [i for i in rest if i not in set(fits)]
-            if fits and (kind := build_kind(self.items, fits, least, stride, steps, seed)):
+            if not fits:
+                continue
+            kind, left_out = build_kind(self.items, fits, least, stride, steps, seed, max_edits)
+            if kind is not None:
                 self.kinds.append(kind)
-        self.short = rest
-
-    def candidates(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place of the item's start, item) of windows that collide and are close."""
-        starts = word_starts(text)
-        for kind in self.kinds:
-            own = starts[:: kind.stride]
-            steps = kind.moves.shape[1]
-            padded = np.concatenate([text, np.zeros(steps + 1, np.uint8)])
-            for begin in range(0, len(own), _BLOCK):
-                part = own[begin : begin + _BLOCK]
-                for w, moves in enumerate(kind.moves):
-                    walked = walk(padded, part, moves)
-                    for t in range(kind.sampled.shape[1]):
-                        h = kind.hash_of(walked, w, t)
-                        at = np.flatnonzero(kind.present[w, t][h >> np.uint32(32 - TABLE_BITS)])
-                        if not len(at):
-                            continue
-                        n = w * kind.sampled.shape[1] + t
-                        low = np.searchsorted(kind.hashes[n], h[at])
-                        count = np.searchsorted(kind.hashes[n], h[at], side="right") - low
-                        a = np.repeat(at, count)
-                        if not len(a):
-                            continue
-                        b = kind.order[n][np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-                        gap = (walked[:, a] != kind.walked[w][:, b]).sum(axis=0)
-                        ok = gap <= MAX_WALK_GAP * steps
-                        a, b = a[ok], b[ok]
-                        ok = piece_edits(kind.masks[b], kind.lengths[b], text, part[a]) <= MAX_PIECE_EDITS * kind.lengths[b]
-                        yield from zip((part[a[ok]] - kind.offset[b[ok]]).tolist(), kind.item[b[ok]].tolist(), strict=True)
+            done = set(fits) - left_out
+            rest = [i for i in rest if i not in done]
+        self.exact = rest
+        self.pieces: dict[str, list[tuple[int, int]]] = {}
+        for i in rest:
+            text, n = self.items[i].decode("latin-1"), int(max_edits * len(self.items[i])) + 1
+            cuts = [len(text) * j // n for j in range(n + 1)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                self.pieces.setdefault(text[a:b], []).append((i, a))
+        self.automaton = None
+
+    def _piece_hits(self, joined: bytes) -> Iterator[tuple[int, int]]:
+        """(place of the item's start, item) wherever a piece of an item without windows stands."""
+        if not self.pieces:
+            return
+        if self.automaton is None:
+            from ahocorasick import Automaton
+
+            self.automaton = Automaton()
+            for piece, own in self.pieces.items():
+                self.automaton.add_word(piece, (len(piece), own))
+            self.automaton.make_automaton()
+        for end, (size, own) in self.automaton.iter(joined.decode("latin-1")):
+            for i, offset in own:
+                yield end + 1 - size - offset, i
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text's index, item_id, edit distance, item's length) for each text and item in it."""
         docs = [normal(t) for t in texts]
         begins = np.cumsum([0, *(len(d) + 1 for d in docs)])
         joined = b"\0".join(docs)
-        seen, best = set(), {}
-        for i in self.short:
-            for d, doc in enumerate(docs):
-                if self.items[i] in doc and b" %b " % self.items[i] in b" %b " % doc:
-                    best[d, i] = 0
-        for start, i in self.candidates(np.frombuffer(joined, np.uint8)):
-            if (start >> 4, i) in seen:
+        text = np.frombuffer(joined, np.uint8)
+        best: dict[tuple[int, int], int] = {}
+        seen = set()
+        borders = word_borders(text) if self.exact else None
+        for start, i in self._piece_hits(joined):
+            if (start, i) in seen:
                 continue
-            seen.add((start >> 4, i))
-            item = self.items[i]
-            most = int(self.max_edits * len(item))
-            slack = most + 16
-            doc = int(np.searchsorted(begins, max(0, start + min(len(item) // 2, slack)), side="right")) - 1
-            doc = min(max(doc, 0), len(docs) - 1)
-            for d in {doc, max(doc - 1, 0), min(doc + 1, len(docs) - 1)}:
-                a, b = max(begins[d], start - slack), min(begins[d] + len(docs[d]), start + len(item) + slack)
-                if b - a < len(item) - most or best.get((d, i), most + 1) == 0:
+            seen.add((start, i))
+            item, most = self.items[i], int(self.max_edits * len(self.items[i]))
+            d = min(int(np.searchsorted(begins, max(0, start + min(len(item) // 2, most)), side="right")) - 1, len(docs) - 1)
+            for d_ in {d, max(d - 1, 0), min(d + 1, len(docs) - 1)}:
+                a, b = int(begins[d_]), int(begins[d_]) + len(docs[d_])
+                low, high = max(a, start - most), min(b, start + most)
+                if low > high or best.get((d_, i), most + 1) == 0:
                     continue
-                if (e := edits_within(item, joined[a:b], most)) is not None:
-                    best[d, i] = min(e, best.get((d, i), e))
+                # the passage begins within the edits of where the piece says, and ends in the same text
+                if (e := edits_between_borders(item, joined[:b], range(low, min(high + 1, b)), borders, most)) is not None:
+                    best[d_, i] = min(e, best.get((d_, i), e))
+        for kind in self.kinds:
+            for start, i, _ in kind.candidates(text):
+                if (start >> 4, i) in seen:
+                    continue
+                seen.add((start >> 4, i))
+                item = self.items[i]
+                most = int(self.max_edits * len(item))
+                slack = most + 16
+                doc = int(np.searchsorted(begins, max(0, start + min(len(item) // 2, slack)), side="right")) - 1
+                doc = min(max(doc, 0), len(docs) - 1)
+                for d in {doc, max(doc - 1, 0), min(doc + 1, len(docs) - 1)}:
+                    a, b = max(begins[d], start - slack), min(begins[d] + len(docs[d]), start + len(item) + slack)
+                    if b - a < len(item) - most or best.get((d, i), most + 1) == 0:
+                        continue
+                    if (e := edits_within(item, joined[a:b], most)) is not None:
+                        best[d, i] = min(e, best.get((d, i), e))
         return [(d, self.ids[i], e, len(self.items[i])) for (d, i), e in sorted(best.items())]
 
 
@@ -292,48 +402,60 @@ def _groups(batch: pa.RecordBatch, chars: int = 1 << 21) -> Iterator[pa.RecordBa
         yield batch.slice(int(at[0]), len(at))
 
 
-def load_finder(benchmark: DataFrame, max_edits: float = MAX_EDITS, most_items: int = 500_000) -> Finder:
-    """The benchmark must fit in memory; more than ``most_items`` are refused rather than cut."""
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} benchmark items; give them in parts")
-    return Finder([(r[0], r[1]) for r in rows], max_edits)
+def load_finders(benchmark: DataFrame, max_edits: float = MAX_EDITS, part_bytes: int = PART_BYTES) -> Iterator[Finder]:
+    """Finders of the whole benchmark, each of some ``part_bytes`` of items; one for a benchmark of that size.
+
+    Items go to parts by hash, so whatever the benchmark's size no more than a part is on the driver or in a task.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    parts = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+    for n in range(parts):
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == n)
+        yield Finder(sorted(map(tuple, own.collect()), key=lambda r: (r[0] is None, r)), max_edits)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id, edit_distance, item_chars, similarity): each row of documents with each item it holds.
 
     An item is held if some passage lies within ``max_edits`` of its characters (bytes of normal form: ASCII lower
-    case, single spaces). Null, empty and blank texts and items hold nothing and are held by nothing; repeated rows
-    give rows each; a null doc_id or item_id is returned as null. Other columns are not read. The LSH aims at
-    TARGET_RECALL for passages with EDITS_AIMED_AT edited; of unedited ones several windows collide in every table.
-    Items of a few words, too short for windows, are held only where they stand unedited between word borders.
+    case, single spaces). Null, empty and blank texts and items hold nothing and are held by nothing; very long texts
+    are searched whole; repeated rows give rows each; of places that tie one is counted; a null doc_id or item_id is
+    returned as null. Columns beside doc_id, item_id and text are not read. The LSH finds TARGET_RECALL or more of the
+    items with as many edits as are allowed; of unedited ones several windows collide in every table. Items too short
+    for windows are found exactly, where the passage begins and ends at word borders. The documents are read once for
+    each ``part_bytes`` of benchmark.
     """
-    finder = send(docs.sparkSession, load_finder(benchmark, max_edits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = finder()
-        for batch in batches:
-            for part in _groups(batch):
-                ids = part.column("doc_id").to_pylist()
-                rows = own.find(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d, *_ in rows], pa.int64()), pa.array([i for _, i, *_ in rows], pa.int64()), pa.array([e for *_, e, _ in rows], pa.int64()), pa.array([n for *_, n in rows], pa.int64()), pa.array([1 - e / n for *_, e, n in rows], pa.float64())],
-                    ["doc_id", "item_id", "edit_distance", "item_chars", "similarity"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, edit_distance long, item_chars long, similarity double")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """The documents, all columns, that hold no benchmark item; null and empty texts stay."""
-    finder = send(docs.sparkSession, load_finder(benchmark, max_edits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = finder()
-        for batch in batches:
-            for part in _groups(batch):
-                hit = {d for d, *_ in own.find(part.column("text").to_pylist())}
-                yield part.filter(pa.array([d not in hit for d in range(part.num_rows)]))
-
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    found = None
+    for one in load_finders(benchmark, max_edits, part_bytes):
+        finder = send(docs.sparkSession, one)
+
+        def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            own = finder()
+            for batch in batches:
+                for part in _groups(batch):
+                    ids = part.column("doc_id").to_pylist()
+                    rows = own.find(part.column("text").to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[d] for d, *_ in rows], pa.int64()), pa.array([i for _, i, *_ in rows], pa.int64()), pa.array([e for *_, e, _ in rows], pa.int64()), pa.array([n for *_, n in rows], pa.int64()), pa.array([1 - e / n for *_, e, n in rows], pa.float64())],
+                        ["doc_id", "item_id", "edit_distance", "item_chars", "similarity"],
+                    )
+
+        some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, edit_distance long, item_chars long, similarity double")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents, all columns, that hold no benchmark item; null and empty texts stay. See ``contaminated``."""
+    for one in load_finders(benchmark, max_edits, part_bytes):
+        finder = send(docs.sparkSession, one)
+
+        def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            own = finder()
+            for batch in batches:
+                for part in _groups(batch):
+                    hit = {d for d, *_ in own.find(part.column("text").to_pylist())}
+                    yield part.filter(pa.array([d not in hit for d in range(part.num_rows)]))
+
+        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs

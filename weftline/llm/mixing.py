@@ -18,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, WINDOW_ROWS = 512, 4096
 #: The unit interval of the schedule in integers, and the golden ratio's fraction of it.
 UNIT, GOLDEN = 1 << 32, 2654435769
-BINS = 4096
+#: Least and most bins of the interval, in which slots look for their source.
+BINS, MOST_BINS = 4096, 1 << 22
 
 
 @dataclass
@@ -50,7 +51,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_repeat: int
     by_cap = all_rows.orderBy(F.col("source_size") / F.col("weight"), F.asc_nulls_last("source"))
     cap = F.col("source_size") * max_repeat
     before = F.coalesce(F.sum(cap).over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weight_left = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
+    # a frame that ends with the partition is summed anew for each row; turned round, it grows row by row
+    turned = all_rows.orderBy((F.col("source_size") / F.col("weight")).desc(), F.desc_nulls_first("source"))
+    weight_left = F.sum("weight").over(turned.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("source_size").over(all_rows)
     s = s.withColumn("capped", cap * weight_left <= (total - before) * F.col("weight"))
     rest = total - F.sum(F.when(F.col("capped"), cap).otherwise(0)).over(all_rows)
@@ -68,7 +71,7 @@ def with_quotas(sources: DataFrame, block: int) -> DataFrame:
     return s.withColumn("source_no", F.row_number().over(by_name).cast("long")).withColumn("slots_before", F.coalesce(F.sum("slots").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def slot_schedule(sources: DataFrame, n_slots: int, block: int) -> DataFrame:
+def slot_schedule(sources: DataFrame, n_slots: int, n_sources: int, block: int) -> DataFrame:
     """(slot, source_no, rank, block, length): slot i's golden-ratio point picks the source, ranks count its slots.
 
     The points give every source its share to within a few slots; the surplus of some goes, slot by slot, to
@@ -78,9 +81,13 @@ def slot_schedule(sources: DataFrame, n_slots: int, block: int) -> DataFrame:
     spark = sources.sparkSession
     low = F.floor(F.col("slots_before") / F.lit(float(max(n_slots, 1))) * UNIT).cast("long")
     high = F.floor((F.col("slots_before") + F.col("slots")) / F.lit(float(max(n_slots, 1))) * UNIT).cast("long")
-    width = UNIT // BINS
+    # bins grow with the sources, and are no narrower than the least share: a bin has few sources
+    bins = BINS
+    while bins < MOST_BINS and bins < min(n_slots, 4 * n_sources):
+        bins *= 2
+    width = UNIT // bins
     spans = sources.where("slots > 0").select("source_no", low.alias("low"), high.alias("high")).where("high > low")
-    spans = spans.withColumn("bin", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))))  # BINS rows and one for each source
+    spans = spans.withColumn("bin", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))))  # a row a bin and one for each source
     points = spark.range(n_slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
     points = points.withColumn("bin", F.expr(f"point div {width}"))
     chosen = points.join(spans, "bin").where("point >= low and point < high").select("slot", "source_no", F.expr(f"slot div {WINDOW_ROWS}").alias("chunk"))
@@ -111,13 +118,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_rep
     blocks of ``block_words``; slots take blocks in turn, pass after pass, so nothing exceeds ``max_repeat`` times its size.
 
     Nulls: a null text has size 0; null sources form one source, the last; a null doc_id is kept. Repeated rows
-    each count. Empty texts are kept with taken 0; an empty table gives no rows. Other columns are not read.
+    each count. Ties of the hash are ordered by doc_id and size; rows alike in these too may swap what is taken of
+    them, which no one can tell. Very long texts are counted whole and lie in many blocks. Empty texts are kept with
+    taken 0; an empty table gives no rows. Other columns are not read. Sources may be as many as rows.
     """
     spark = docs.sparkSession
     sizes = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     sources = written(with_quotas(source_targets(sizes, weights, max_repeat), block_words), "sources")
-    n_slots, n_docs = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    schedule = written(slot_schedule(sources, int(n_slots), block_words), "schedule")
+    n_slots, n_docs, n_sources = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.count("*")).first()
+    schedule = written(slot_schedule(sources, int(n_slots), n_sources, block_words), "schedule")
 
     facts = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
     if fits_broadcast(facts):

@@ -177,8 +177,9 @@ def _joined(spans: str) -> Column:
 def scan_secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row.
 
-    Null and empty texts have no spans; repeated rows give equal rows, a null doc_id is returned; spans that start
-    together stand in the order of KINDS. An empty table gives no rows. Of other columns none is read.
+    Null and empty texts have no spans; very long texts and very long runs are taken whole; repeated rows give equal
+    rows, a null doc_id is returned; spans that start together stand in the order of KINDS, of candidates with equal
+    p-values all or none are reported. An empty table gives no rows. Of other columns none is read.
     """
     df = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), false_share)
     return df.select(

@@ -12,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, slices, written
+from .common import HOT_ROWS, connected_components, joined, slices, written
 
 RADIUS, SEED = 3, 42
 #: Members of a key's bucket up to which its pairs are compared directly.
@@ -156,27 +155,40 @@ def _large_bucket_links(members: DataFrame) -> DataFrame:
     return ties.unionByName(pairs.where("a > b and bit_count(a ^ b) <= 3")).where("a <> b").distinct()
 
 
-def near_links(fps: DataFrame) -> DataFrame:
+def near_links(fps: DataFrame, part_keys: int = PART_KEYS) -> DataFrame:
     """(a, b): links among distinct fingerprints (column fp) that join the same groups as all pairs within RADIUS.
 
     Every pair in a bucket of at most SMALL_BUCKET rows is compared; larger buckets are tied up as
     ``_large_bucket_links`` tells, which leaves out links only between fingerprints that others connect.
     """
     n = fps.count() * 4 * len(_FLIPS)
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_KEYS))
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // part_keys))
+    # as many fingerprints at once as leave some 16 keys for each part, so that rows stay worth their overhead
+    at_once = min(max(8192, 16 * parts // (4 * len(_FLIPS))), 1 << 16)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nine bytes a key, those of one part together in a row: no row or field overhead goes through the shuffle."""
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held, size = [], 0
         for batch in batches:
             for piece in slices(batch, 8192):
-                key, words, tails = _packed_keys(piece.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
-                part = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                part, words, tails = part[order], words[order], tails[order]
-                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                ends = np.r_[starts[1:], len(part)]
-                rows = [words[a:b].tobytes() + tails[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(rows, pa.binary())], ["part", "rows"])
+                held.append(piece.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+                size += len(held[-1])
+                if size >= at_once:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nine bytes a key, those of one part together in a row: no row or field overhead goes through the shuffle."""
+        for piece in pieces(batches):
+            key, words, tails = _packed_keys(piece)
+            part = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, words, tails = part[order], words[order], tails[order]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = np.r_[starts[1:], len(part)]
+            rows = [words[a:b].tobytes() + tails[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(rows, pa.binary())], ["part", "rows"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for batch in batches for r in batch.column("rows").to_pylist()]
@@ -190,21 +202,24 @@ def near_links(fps: DataFrame) -> DataFrame:
     return found.where("not big").select("a", "b").unionByName(_large_bucket_links(found.where("big"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = HOT_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of documents (doc_id, text).
 
     Fingerprints differing in at most 3 bits are linked; component_id is the smallest doc_id of those reachable.
     Fingerprints are made distinct first, so copies meet once, whatever their number. Null and empty texts have
-    the fingerprint zero and are linked like any other; repeated rows keep their rows. A null doc_id is returned
-    as null; a component of such rows only has a null component_id. Other columns are not read.
+    the fingerprint zero and are linked like any other; very long texts are taken whole; repeated rows keep their rows;
+    a bit of just half the shingles is not set. A null doc_id is returned as null; a component of such rows only has a
+    null component_id. Other columns are not read. Rows of a fingerprint, and fingerprints of a component, of which
+    there are over ``hot`` are named where they are, see ``joined``.
     """
     all_fps = written(fingerprints(docs, shingle), "fingerprints")
-    classes = written(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    groups = connected_components(near_links(classes))
-    tied = classes.join(groups, F.col("fp") == F.col("node"))
-    tied = tied.groupBy("component").agg(F.min("first_id").alias("component_id")).join(groups, "component").select(F.col("node").alias("fp"), "component_id")
-    named = classes.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return all_fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = written(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
+    groups = written(connected_components(near_links(classes), hot=hot).withColumnRenamed("node", "fp"), "groups")
+    tied = classes.join(groups, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    tied = joined(groups, tied, "component", "members", groups.count(), hot).select("fp", "component_id")
+    named = classes.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n")
+    found = joined(all_fps, written(named, "named"), "fp", "n", all_fps.count(), hot)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
