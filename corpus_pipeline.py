@@ -2,7 +2,8 @@
 
 Each stage takes what the one before kept, written as Parquet and read again. The first three drop documents, the
 fourth rewrites texts, the last returns what the mix takes of each document. All but the last return the columns of
-``documents``. Null texts and ids, empty texts, repeated rows and empty tables are handled as the operators tell.
+``documents``. Null texts and ids, empty and very long texts, ties, repeated rows and empty tables are handled as the
+operators tell.
 """
 
 from __future__ import annotations
