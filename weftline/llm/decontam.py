@@ -8,8 +8,8 @@ words: whatever the passage's place, some document window in it starts where an
 windows within a Hamming bound give candidates, and the item's exact edit distance to the best place there decides.
 In scripts without spaces every character counts as a word.
 
-Tables are added until the recall target is met by items edited as much as is allowed, whatever number of windows
-they have. Items too short for windows, and those that no number of tables brings there, are searched exactly: cut
+Walks and tables are as many as meet the recall target for items edited as much as is allowed, whatever number of
+windows they have. Items too short for windows, and those that no number of tables brings there, are searched exactly: cut
 into one piece more than the edits allowed, an edited passage keeps one piece unedited, and an automaton of all pieces
 finds it.
 """
@@ -36,6 +36,8 @@ MAX_EDITS, MAX_WALK_GAP, MAX_PIECE_EDITS = 0.2, 0.7, 0.36
 WALKS, SAMPLED, MOST_TABLES, TARGET_RECALL, TRIALS = 4, 8, 16, 0.97, 400
 #: Window kinds, longest first: least characters of an item window, words between document windows, steps of the walk.
 KINDS = ((44, 4, 64), (22, 2, 32))
+#: What a step of a walk, a look into a table and a pair to compare cost a document window, in about nanoseconds.
+STEP_COST, TABLE_COST, PAIR_COST = 4, 13, 2000
 #: Bytes of benchmark text whose index is held at once, some 0.2 KB a byte; a larger benchmark is searched for in parts.
 PART_BYTES = 4 << 20
 TABLE_BITS = 20
@@ -143,6 +145,7 @@ class Kind:
     walked: np.ndarray  # walks x steps x windows
     masks: np.ndarray  # of each window's first 64 bytes
     lengths: np.ndarray
+    chance: np.ndarray  # walks x tables: of how many windows a document window collides with by chance
     present: np.ndarray = field(init=False)
     hashes: list = field(init=False)
     order: list = field(init=False)
@@ -174,12 +177,12 @@ class Kind:
                 self.order.append(order)
         self.mark()
 
-    def cut(self, tables: int, kept: np.ndarray) -> Kind:
-        """The first tables, and the windows kept."""
-        return Kind(self.stride, self.moves, self.sampled[:, :tables], self.item[kept], self.offset[kept], self.walked[:, :, kept], self.masks[kept], self.lengths[kept])
+    def cut(self, walks: int, tables: int, kept: np.ndarray) -> Kind:
+        """The first walks and tables, and the windows kept."""
+        return Kind(self.stride, self.moves[:walks], self.sampled[:walks, :tables], self.item[kept], self.offset[kept], self.walked[:walks, :, kept], self.masks[kept], self.lengths[kept], self.chance[:walks, :tables])
 
-    def candidates(self, text: np.ndarray, begins: list[int] | None = None) -> Iterator[tuple[int, int, int]]:
-        """(place of the item's start, item, table) of windows that collide and are close.
+    def candidates(self, text: np.ndarray, begins: list[int] | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """(place of the item's start, item, walk, table) of windows that collide and are close.
 
         Document windows are every ``stride`` words of the whole text, or of each part where ``begins`` are given.
         """
@@ -211,7 +214,7 @@ class Kind:
                     ok = gap <= MAX_WALK_GAP * steps
                     a, b = a[ok], b[ok]
                     ok = piece_edits(self.masks[b], self.lengths[b], text, part[a]) <= MAX_PIECE_EDITS * self.lengths[b]
-                    yield from ((start, own_, t) for start, own_ in zip((part[a[ok]] - self.offset[b[ok]]).tolist(), self.item[b[ok]].tolist(), strict=True))
+                    yield from ((start, own_, w, t) for start, own_ in zip((part[a[ok]] - self.offset[b[ok]]).tolist(), self.item[b[ok]].tolist(), strict=True))
 
     def hash_of(self, walked: np.ndarray, w: int, t: int) -> np.ndarray:
         h = np.zeros(walked.shape[1], np.uint32)
@@ -263,12 +266,21 @@ def _perturbed(windows: list[bytes], rng: np.random.Generator, share: float) ->
     return out
 
 
-def build_kind(items: list[bytes], which: list[int], least: int, stride: int, steps: int, seed: int, max_edits: float) -> tuple[Kind | None, set[int]]:
-    """Windows of the given items at every word with ``least`` characters or more after it, and the items left out.
+def _collisions(rows: np.ndarray) -> float:
+    """How many other columns a column is like, on average."""
+    mixed = np.zeros(rows.shape[1], np.uint64)
+    for row in rows:
+        mixed = (mixed ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    _, counts = np.unique(mixed, return_counts=True)
+    return float((counts * (counts - 1)).sum() / max(1, counts.sum()))
 
-    As many tables as find TARGET_RECALL of the items with ``max_edits`` of their characters edited at random, by how
-    many windows they have (those with few are the hardest). Items of a number of windows for which MOST_TABLES don't
-    reach it are left out.
+
+def build_kind(items: list[bytes], which: list[int], least: int, stride: int, steps: int, seed: int, max_edits: float) -> tuple[Kind, dict[int, np.ndarray]]:
+    """Windows of the given items at every word with ``least`` characters or more after it, in MOST_TABLES of WALKS.
+
+    And for each item the recall that the first walks and tables give to items with as many windows (those with few
+    are the hardest), walks x tables, measured with ``max_edits`` of their characters edited at random.
     """
     rng = np.random.default_rng(seed)
     moves = rng.integers(0, 2, (WALKS, steps, 256)).astype(np.int32)
@@ -284,29 +296,66 @@ def build_kind(items: list[bytes], which: list[int], least: int, stride: int, st
     text = np.frombuffer(b"".join(cut) + b"\0" * steps, np.uint8)
     walked = np.stack([walk(text, np.arange(len(windows)) * (steps + 1), m) for m in moves])
     used = min(steps, 2 * least)  # positions that the shortest windows reach
-    sampled = np.sort(np.stack([[rng.choice(used, SAMPLED, replace=False) for _ in range(MOST_TABLES)] for _ in range(WALKS)]), axis=2)
-    kind = Kind(stride, moves, sampled, np.array(item, np.int32), np.array(offset, np.int32), walked, *piece_masks(windows))
+    sampled = np.sort(np.stack([[rng.choice(used, SAMPLED, replace=False) for _ in range(3 * MOST_TABLES)] for _ in range(WALKS)]), axis=2)
+    # of the draws those stay that bring the fewest windows of other items together
+    chance = np.array([[_collisions(w[draw]) for draw in draws] for w, draws in zip(walked, sampled, strict=True)])
+    kept = np.argsort(chance, axis=1, kind="stable")[:, :MOST_TABLES]
+    sampled, chance = np.take_along_axis(sampled, kept[:, :, None], axis=1), np.take_along_axis(chance, kept, axis=1)
+    kind = Kind(stride, moves, sampled, np.array(item, np.int32), np.array(offset, np.int32), walked, *piece_masks(windows), chance)
     owners, counts = np.unique(kind.item, return_counts=True)
     aligned = np.minimum(counts // stride, 6)
-    tables, left_out = 1, set()
+    recalls: dict[int, np.ndarray] = {}
     for group in np.unique(aligned):
         members = owners[aligned == group]
         picked = rng.choice(members, TRIALS)
         # each trial is a document of a word or more, the edited item and a word more
         trials = [b"lorem " * int(rng.integers(1, 5)) + t + b" ipsum" for t in _perturbed([items[i] for i in picked], rng, max_edits)]
         begins = np.cumsum([0, *(len(t) + 1 for t in trials)])
-        found = np.full(len(trials), MOST_TABLES)  # by the first of how many tables
-        for start, own, table in kind.candidates(np.frombuffer(b"\0".join(trials), np.uint8), [int(b) for b in begins[:-1]]):
+        hit = np.zeros((WALKS, MOST_TABLES, len(trials)), bool)
+        for start, own, w, t in kind.candidates(np.frombuffer(b"\0".join(trials), np.uint8), [int(b) for b in begins[:-1]]):
             at = np.searchsorted(begins, start + len(items[own]) // 2, side="right") - 1
             if 0 <= at < len(trials) and picked[at] == own:
-                found[at] = min(found[at], table)
-        needed = next((n for n in range(1, MOST_TABLES + 1) if (found < n).mean() >= TARGET_RECALL), None)
-        if needed is None:
-            left_out |= set(members.tolist())
-        else:
-            tables = max(tables, needed)
-    kept = ~np.isin(kind.item, list(left_out))
-    return kind.cut(tables, kept) if kept.any() else None, left_out
+                hit[w, t, at] = True
+        found = np.logical_or.accumulate(np.logical_or.accumulate(hit, axis=0), axis=1).mean(axis=2)
+        recalls |= dict.fromkeys(members.tolist(), found)
+    return kind, recalls
+
+
+def chosen_kinds(built: list[tuple[Kind, dict[int, np.ndarray]]], n_items: int) -> list[Kind]:
+    """The kinds, walks and tables that reach the target for as many items as any do, at the least cost for documents.
+
+    Each kind takes the items that its walks and tables suffice for, the longest windows first.
+    """
+    options = [None, *((w, t) for w in range(WALKS) for t in range(MOST_TABLES))]
+    enough = [[np.array([o is not None and i in r and r[i][o] >= TARGET_RECALL for i in range(n_items)]) for o in options] for _, r in built]
+
+    def best(n: int, left: np.ndarray) -> tuple[tuple[int, float], list[int]]:
+        """(items left in the end, cost) and the options of kinds n and later, for the items still left."""
+        if n == len(built):
+            return (int(left.sum()), 0.0), []
+        kind, seen, found = built[n][0], {}, []
+        for o, option in enumerate(options):
+            rest = left & ~enough[n][o]
+            if option is not None and rest.sum() == left.sum():
+                continue
+            cost = 0.0 if option is None else cost_of(kind, *option)
+            if cost < seen.get(rest.tobytes(), np.inf):
+                seen[rest.tobytes()] = cost
+                found.append((o, cost, rest))
+        each = [((out[0], out[1] + cost), [o, *picks]) for o, cost, rest in found if cost == seen[rest.tobytes()] for out, picks in [best(n + 1, rest)]]
+        return min(each)
+
+    def cost_of(kind: Kind, w: int, t: int) -> float:
+        steps = (w + 1) * (STEP_COST * kind.moves.shape[1] + TABLE_COST * (t + 1))
+        return (steps + PAIR_COST * kind.chance[: w + 1, : t + 1].sum()) / kind.stride
+
+    left, kinds = np.ones(n_items, bool), []
+    for n, o in enumerate(best(0, left)[1]):
+        taken = left & enough[n][o]
+        left = left & ~taken
+        if taken.any():
+            kinds.append(built[n][0].cut(options[o][0] + 1, options[o][1] + 1, taken[built[n][0].item]))
+    return kinds
 
 
 class Finder:
@@ -315,18 +364,15 @@ class Finder:
     def __init__(self, items: list[tuple[int, str | None]], max_edits: float = MAX_EDITS, seed: int = 42) -> None:
         kept = [(i, b) for i, t in items if (b := normal(t))]
         self.ids, self.items, self.max_edits = [i for i, _ in kept], [b for _, b in kept], max_edits
-        self.kinds, rest = [], list(range(len(kept)))
+        built = []
         for least, stride, steps in KINDS:
             # an item needs long enough windows at all the words between two document windows, and one more
-            starts = {i: word_starts(np.frombuffer(self.items[i], np.uint8)) for i in rest}
-            fits = [i for i in rest if len(starts[i]) > stride and len(self.items[i]) - starts[i][stride] >= least]
-            if not fits:
-                continue
-            kind, left_out = build_kind(self.items, fits, least, stride, steps, seed, max_edits)
-            if kind is not None:
-                self.kinds.append(kind)
-            done = set(fits) - left_out
-            rest = [i for i in rest if i not in done]
+            starts = [word_starts(np.frombuffer(b, np.uint8)) for b in self.items]
+            fits = [i for i, b in enumerate(self.items) if len(starts[i]) > stride and len(b) - starts[i][stride] >= least]
+            if fits:
+                built.append(build_kind(self.items, fits, least, stride, steps, seed, max_edits))
+        self.kinds = chosen_kinds(built, len(self.items))
+        rest = sorted(set(range(len(self.items))).difference(*(k.item.tolist() for k in self.kinds)))
         self.exact = rest
         self.pieces: dict[str, list[tuple[int, int]]] = {}
         for i in rest:
@@ -375,7 +421,7 @@ class Finder:
                 if (e := edits_between_borders(item, joined[:b], range(low, min(high + 1, b)), borders, most)) is not None:
                     best[d_, i] = min(e, best.get((d_, i), e))
         for kind in self.kinds:
-            for start, i, _ in kind.candidates(text):
+            for start, i, *_ in kind.candidates(text):
                 if (start >> 4, i) in seen:
                     continue
                 seen.add((start >> 4, i))
