@@ -165,7 +165,11 @@ def test_groups(spark):
     fold = grouping.folded(spark.range(400).select((F.col("id") % 4).alias("key"), F.col("id").alias("value")), F.lit(0).cast("long"), lambda a, v: a + v)
     assert sorted(r.value for r in fold.collect()) == [19800, 19900, 20000, 20100]
     hot = spark.range(50_000).select(F.lit("1").alias("key"), F.lit(" " * 100).alias("value"))
-    assert grouping.combined(hot, lambda k, v, s: iter([str(len(v))] if v and v[0].isspace() else [str(sum(map(int, v)))])).collect() == [("1", "50000")]
+    # a combiner gets what was combined so far; one that looks at the values instead would count tasks
+    assert grouping.combined(hot, lambda k, v, s: iter([str(len(v) + sum(map(int, s)))])).collect() == [("1", "50000")]
+    for values in (F.lit(7), F.col("id") % 10, F.col("id")):
+        many = spark.range(0, 1000, 1, 6).select(F.lit(None).cast("long").alias("key"), values.cast("long").alias("value"))
+        assert grouping.combined(many, lambda k, v, s: iter([len(v) + sum(s)]), 30).collect() == [(None, 1000)]
     with pytest.raises(Exception, match="yields"):
         grouping.combined(pairs, lambda k, v, s: [1]).collect()
     votes = spark.createDataFrame([("p", "x")] * 6 + [("p", "y")] * 5 + [("q", "x")] * 9 + [("r", "x")] * 5 + [("r", "y")] * 5, "key string, value string")
@@ -401,3 +405,74 @@ def test_ranked_sorts_ranges(spark):
     ranked = ordering.ranked(x, text.ordered_long(F.col("value")), 8)
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "hashpartitioning(_range" in plan
+
+
+BIG = 9007199254740993
+
+
+def test_keys_of_64_bits_and_nulls(spark):
+    """Neither becomes a double on its way through Python."""
+    pairs = spark.createDataFrame([(None, 1), (None, None), (BIG, 2), (BIG - 1, 3), (BIG, None)], "key long, value long")
+    count = lambda key, values: iter([(key, list(values))])
+    got = {r.key: r["values"] for r in grouping.reduced(pairs, count, "key long, values array<bigint>").collect()}
+    assert got == {None: [None, 1], BIG: [None, 2], BIG - 1: [3]}
+    rows = mapping.mapped(pairs, lambda row: [(row["key"], row["value"])], "k long, v long").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(None, 1), (None, None), (BIG, 2), (BIG - 1, 3), (BIG, None)], key=str)
+    assert mapping.mapped(pairs.limit(0), lambda row: [(1, 2)], "k long, v long").collect() == []
+    with pytest.raises(Exception, match="2 values for 1 columns"):
+        mapping.mapped(pairs, lambda row: [(1, 2)], "k long").collect()
+
+
+def test_nulls_in_sizes_and_groups(spark):
+    rows = spark.createDataFrame([("s", 1, 5), ("s", 2, None), ("s", 3, 50), ("s", 4, 50), (None, 1, 15), (None, 2, 15)], "shard string, i int, n int")
+    got = {(r.shard, r.i): r.segment for r in sinks.segments_by_size(rows, "shard", "i", F.col("n"), 20).collect()}
+    assert got == {("s", 1): 0, ("s", 2): 0, ("s", 3): 1, ("s", 4): 2, (None, 1): 0, (None, 2): 1}
+    pairs = spark.createDataFrame([("k", None), ("k", None), ("k", "abc"), (None, "x"), (None, None)], "key string, value string")
+    got = {(r.key, r.chunk): (r["values"], r.partial) for r in grouping.size_bounded_groups(pairs, 2).collect()}
+    assert got == {("k", 0): ([None, None, "abc"], False), (None, 0): ([None, "x"], False)}
+
+
+def test_upserts_of_null_and_repeated_keys(spark):
+    table = spark.createDataFrame([(1, "a"), (None, "n")], "k int, v string")
+    changes = spark.createDataFrame([(None, "new", 1), (2, "b", 1), (2, "c", 2)], "k int, v string, at int")
+    assert sorted(map(tuple, sinks.upserted(table, changes, "k", "at").collect()), key=str) == [(1, "a"), (2, "c"), (None, "new")]
+    with pytest.raises(Exception, match="several changes"):
+        sinks.upserted(table, changes, "k").collect()
+
+
+def test_side_outputs(spark):
+    def split(row):
+        yield "main", row["id"], "odd" if row["id"] % 2 else "even"
+        if row["id"] % 10 == 0:
+            yield "tens", row["id"]
+
+    both = mapping.mapped_to(spark.range(40), split, {"main": "id long, kind string", "tens": "n long"}).cache()
+    assert mapping.output_of(both, "main").where("kind = 'odd'").count() == 20
+    assert sorted(r.n for r in mapping.output_of(both, "tens").collect()) == [0, 10, 20, 30]
+    with pytest.raises(Exception, match="no output"):
+        mapping.mapped_to(spark.range(1), lambda r: [("x", 1)], {"main": "id long"}).collect()
+
+
+@given(st.lists(st.binary(max_size=70), max_size=30), st.integers(0, 2**32 - 1))
+@settings(max_examples=60)
+def test_hashes_side_by_side(values, seed):
+    assert hashing.murmur3_many(values, seed).tolist() == [hashing.murmur3_32(v, seed) for v in values]
+
+
+@given(st.binary(min_size=900, max_size=3000), st.integers(0, 2**32 - 1))
+@settings(max_examples=30)
+def test_crc_of_many_bytes(data, crc):
+    want = crc ^ 0xFFFFFFFF
+    for b in data:
+        want = hashing._CRC[(want ^ b) & 0xFF] ^ want >> 8
+    assert hashing.crc32c(data, crc) == want ^ 0xFFFFFFFF
+
+
+def test_json_load(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", [1, 2], (True, 1.5)), (2, None, [], None)], "id long, s string, xs array<long>, r struct<b: boolean, d: double>")
+    schema_json = sinks.write_json(rows, f"{tmp_path}/j")
+    assert sorted(map(str, sinks.load_json(spark, f"{tmp_path}/j", schema_json).collect())) == sorted(map(str, rows.collect()))
+    (tmp_path / "bad.json").write_text("{oops")
+    with pytest.raises(Exception):
+        sinks.load_json(spark, f"{tmp_path}/bad.json", schema_json).collect()
+    assert schema.table_schema(schema.spark_schema(schema.table_schema(rows.schema))) == schema.table_schema(rows.schema)

@@ -13,7 +13,12 @@ def sentences(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words: runs of ASCII letters; anything else separates."""
-    return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"\W+", " "), r"[_0-9]+", " "), " "), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+
+def spaced(phrase: Column, joint: str = ":") -> Column:
+    """A phrase with spaces where its words were joined."""
+    return F.replace(phrase, F.lit(joint), F.lit(" "))
 
 
 def phrases(parts: Column, n: int = 4, joint: str = ":") -> Column:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .mapping import arrow_batches
 
 
 def grouped(pairs: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -32,30 +36,28 @@ def size_bounded_groups(pairs: DataFrame, most_bytes: int, most: int = 100_000,
     """As ``bounded_groups``, a chunk also ending once its values but the first add up to ``most_bytes``.
 
     The count starts again with each chunk, which no window frame expresses; a task streams a sorted group through.
+    A null value has no bytes and comes first; a null key is a key.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, now, chunk, size = [], None, 0, 0
-
-        def out(partial: bool) -> pd.DataFrame:
-            return pd.DataFrame({"key": [now], "chunk": [chunk], "values": [held], "partial": [partial]})
-
         for batch in batches:
-            for k, v in zip(batch["key"], batch["value"], strict=True):
+            for k, v in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True):
                 if held and k != now:
-                    yield out(False)
+                    yield now, chunk, held, False
                     held, chunk, size = [], 0, 0
                 elif held and (len(held) >= most or size >= most_bytes):
-                    yield out(True)
+                    yield now, chunk, held, True
                     held, chunk, size = [], chunk + 1, 0
                 now = k
-                size += len(v.encode()) if held else 0
+                size += len(v.encode()) if held and v is not None else 0
                 held.append(v)
         if held:
-            yield out(False)
+            yield now, chunk, held, False
 
     rows = pairs.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
-    return rows.repartition("key").sortWithinPartitions("key", "value").mapInPandas(cut, "key string, chunk long, values array<string>, partial boolean")
+    schema = T.StructType.fromDDL("key string, chunk long, values array<string>, partial boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "value").mapInArrow(lambda batches: arrow_batches(cut(batches), schema, 200), schema)
 
 
 def keys_once(pairs: DataFrame, key: str = "key") -> DataFrame:
@@ -71,42 +73,52 @@ def folded(pairs: DataFrame, zero: Column, merge: Callable[[Column, Column], Col
     return pairs.groupBy(key).agg(F.aggregate(F.collect_list(value), zero, merge).alias(value))
 
 
-def combined(pairs: DataFrame, combiner: Callable[[str, list, list], Iterator], salts: int = 8, key: str = "key", value: str = "value") -> DataFrame:
-    """(key, value): a user's combiner over part of a key's values at a time, then over what it gave.
+def combined(pairs: DataFrame, combiner: Callable[[Any, list, list], Iterator], batch: int = 1000, key: str = "key", value: str = "value") -> DataFrame:
+    """(key, value): a user's fold ``combiner(key, new_values, combined_so_far)``, which yields what replaces both.
 
-    ``combiner(key, new_values, combined_so_far)`` yields what replaces them. A hot key is spread over ``salts`` tasks.
+    Each task folds the values it reads, at most ``batch`` new ones at a time, before anything is shuffled; then what the
+    tasks have of a key is folded as combined so far, without new values. So a hot key, of equal values or not, is
+    folded by all tasks, and no task holds a group. Nulls are values and keys like any other.
     """
 
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = combiner(keys[0], rows["value"].tolist(), [])
-        if not hasattr(out, "__next__"):
-            raise TypeError("a combiner yields its values")
-        out = list(out)
-        return pd.DataFrame({"key": [keys[0]] * len(out), "value": out})
+    def fold(rows: Iterator[tuple], new: bool) -> Iterator[tuple]:
+        for k, own in groupby(rows, key=lambda r: r[0]):
+            so_far: list = []
+            values = (v for _, v in own)
+            while some := list(islice(values, batch)):
+                out = combiner(k, some, so_far) if new else combiner(k, [], so_far + some)
+                if not hasattr(out, "__next__"):
+                    raise TypeError("a combiner yields its values")
+                so_far = list(out)
+            yield from ((k, v) for v in so_far)
 
     schema = pairs.select(F.col(key).alias("key"), F.col(value).alias("value")).schema
-    part = pairs.select(F.col(key).alias("key"), F.col(value).alias("value"), F.pmod(F.hash(value), F.lit(salts)).alias("_salt"))
-    first = part.groupBy("key", "_salt").applyInPandas(run, schema)
-    return first.groupBy("key").applyInPandas(run, schema)
+    for f in schema:
+        f.nullable = True
+    rows = pairs.select(F.col(key).alias("key"), F.col(value).alias("value")).sortWithinPartitions("key")
+    parts = rows.mapInArrow(lambda batches: arrow_batches(fold(_pairs_of(batches), True), schema), schema)
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: arrow_batches(fold(_pairs_of(batches), False), schema), schema)
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True)
 
 
 def reduced(pairs: DataFrame, reducer: Callable[[Any, Iterator], Iterator[tuple]], schema: str, key: str = "key", value: str = "value") -> DataFrame:
-    """A user's reducer ``reducer(key, values) -> rows``, for what no expression says. Values come in order.
+    """A user's reducer ``reducer(key, values) -> rows``, for what no expression says. Values come in order, nulls first.
 
-    Rows are sorted within tasks and streamed, so a group need not fit in memory.
+    Rows are sorted within tasks and streamed, so a group need not fit in memory. Keys and values are what they are in
+    the table, integers of 64 bits and nulls included; a null key is a key.
     """
-    names = [f.strip().split()[0] for f in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from itertools import groupby, islice
+    kind = T.StructType.fromDDL(schema)
 
-        rows = (r for b in batches for r in zip(b["key"], b["value"], strict=True))
-        results = (row for k, own in groupby(rows, key=lambda r: r[0]) for row in reducer(k, (v for _, v in own)))
-        while chunk := list(islice(results, 5000)):
-            yield pd.DataFrame(chunk, columns=names)
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for k, own in groupby(_pairs_of(batches), key=lambda r: r[0]):
+            yield from reducer(k, (v for _, v in own))
 
     rows = pairs.select(F.col(key).alias("key"), F.col(value).alias("value"))
-    return rows.repartition("key").sortWithinPartitions("key", "value").mapInPandas(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "value").mapInArrow(lambda batches: arrow_batches(rows_of(batches), kind), kind)
 
 
 def nothing(df: DataFrame) -> DataFrame:

@@ -33,6 +33,17 @@ def table_schema(source: type | T.StructType) -> list[dict]:
     return _of_class(source, ())
 
 
+def spark_schema(fields: list[dict]) -> T.StructType:
+    """The Spark schema that a table schema's rows load into, the inverse of ``table_schema`` as far as its types tell."""
+    kinds = {"string": T.StringType(), "boolean": T.BooleanType(), "integer": T.LongType(), "float": T.DoubleType(), "timestamp": T.TimestampType()}
+
+    def kind(f: dict) -> T.DataType:
+        own = spark_schema(f["fields"]) if f["type"] == "record" else kinds[f["type"]]
+        return T.ArrayType(own) if f.get("mode") == "repeated" else own
+
+    return T.StructType([T.StructField(f["name"], kind(f), f.get("mode") != "required") for f in fields])
+
+
 def _of_type(name: str, kind: T.DataType, nullable: bool, comment: str | None) -> dict:
     out: dict = {"name": name}
     if isinstance(kind, T.ArrayType):

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .schema import table_schema
+from .schema import spark_schema, table_schema
 
 
 def formatted(rows: DataFrame, pattern: str, *columns: str) -> DataFrame:
@@ -41,6 +41,19 @@ def write_json(rows: DataFrame, path: str, mode: str = "error") -> str:
     return schema
 
 
+def load_json(spark: SparkSession, path: str, schema: str, table: str | None = None, mode: str = "error") -> DataFrame:
+    """The rows of JSON files by the table schema that ``write_json`` returned, saved as ``table`` if that is given.
+
+    A line that isn't JSON fails the load. Times are read from seconds since 1970 where ``json_rows`` wrote them.
+    """
+    fields = json.loads(schema)["fields"]
+    rows = spark.read.schema(spark_schema(fields)).option("mode", "FAILFAST").json(path)
+    if table is not None:
+        rows.write.mode(mode).saveAsTable(table)
+        rows = spark.table(table)
+    return rows
+
+
 def write_sharded(rows: DataFrame, shard: Column, shards: int, path: str, mode: str = "error") -> None:
     """A folder for each shard, written by one task each."""
     out = rows.withColumn("shard", shard)
@@ -51,24 +64,25 @@ def segments_by_size(rows: DataFrame, shard: str, order: str, size: Column, most
     """The rows with the segment they fall in: a new one begins when the next row would exceed ``most`` bytes.
 
     The sum starts again with each segment, so sorted shards stream through a task; nothing is held but one sum.
+    A null size counts as nothing, a null shard is a shard. Rows of one shard should differ in ``order``.
     """
-    out = rows.withColumn("_size", size.cast("long"))
-    schema = out.drop("_size").withColumn("segment", F.lit(0).cast("long")).schema
+    out = rows.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0)))
+    schema = rows.withColumn("segment", F.lit(0).cast("long")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, total, segment, first = object(), 0, 0, True
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, segment, first = None, 0, 0, True
         for batch in batches:
             found = []
-            for s, n in zip(batch[shard], batch["_size"], strict=True):
+            for s, n in zip(batch.column(shard).to_pylist(), batch.column("_size").to_pylist(), strict=True):
                 if first or s != now:
                     now, total, segment, first = s, 0, 0, False
                 elif total + n > most:
                     total, segment = 0, segment + 1
                 total += n
                 found.append(segment)
-            yield batch.drop(columns="_size").assign(segment=found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(found, pa.int64())], schema.names)
 
-    return out.repartition(shard).sortWithinPartitions(shard, order).mapInPandas(run, schema)
+    return out.repartition(shard).sortWithinPartitions(shard, order).mapInArrow(run, schema)
 
 
 def by_shard(rows: DataFrame, shard: str, order: str, value: str) -> list[list]:
@@ -82,12 +96,21 @@ def write_nothing(rows: DataFrame) -> None:
     rows.write.format("noop").mode("overwrite").save()
 
 
-def upserted(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The table with rows of equal key replaced and new ones added; columns that changes lack stay as they are."""
-    changed = changes.columns
-    both = table.alias("t").join(changes.withColumn("_changed", F.lit(True)).alias("c"), key, "full")
-    pick = [F.when(F.col("_changed"), F.col(f"c.{c}")).otherwise(F.col(f"t.{c}")).alias(c) if c in changed and c != key else F.col(c if c == key else f"t.{c}").alias(c) for c in table.columns]
-    return both.select(*pick)
+def upserted(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The table with rows of equal key replaced and new ones added; columns that changes lack stay as they are.
+
+    Of several changes to one key the last by ``order`` counts; without an order such changes fail the job, as which
+    one counts isn't said. A null key is a key.
+    """
+    if order is not None:
+        changes = latest(changes, key, order)
+    else:
+        n = F.count("*").over(Window.partitionBy(key))
+        changes = changes.withColumn("_n", n).where(F.assert_true(F.col("_n") == 1, F.lit("several changes to one key and no order among them")).isNull()).drop("_n")
+    changed = [c for c in changes.columns if c in table.columns]
+    new = changes.select(*[F.col(c).alias(f"_new_{c}") for c in changed], F.lit(True).alias("_changed"))
+    both = table.join(new, F.col(key).eqNullSafe(F.col(f"_new_{key}")), "full")
+    return both.select(*[F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in table.columns])
 
 
 def deleted(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
