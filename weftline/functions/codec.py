@@ -9,8 +9,11 @@ from datetime import datetime
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def _varint(n: int) -> bytes:
@@ -99,6 +102,46 @@ def pair_columns(message: Column) -> Column:
     return decode(message)
 
 
+def group_columns(message: Column) -> Column:
+    """struct<key, values, partial> of groups' messages."""
+
+    @F.pandas_udf("key binary, values array<binary>, partial boolean")
+    def decode(messages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([group_of(bytes(m)) for m in messages], columns=["key", "values", "partial"])
+
+    return decode(message)
+
+
+class Marshaller:
+    """A user's form of values: ``encode`` to bytes and ``decode`` back, applied batch by batch on executors."""
+
+    def encode(self, value: Any) -> bytes:
+        raise NotImplementedError
+
+    def decode(self, data: bytes) -> Any:
+        raise NotImplementedError
+
+
+def marshalled(value: Column, marshaller: Marshaller) -> Column:
+    """A column in a marshaller's bytes; nulls stay."""
+
+    @F.arrow_udf("binary")
+    def encode(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else marshaller.encode(v) for v in values.to_pylist()], pa.binary())
+
+    return encode(value)
+
+
+def unmarshalled(data: Column, marshaller: Marshaller, kind: str) -> Column:
+    own = to_arrow_type(T.DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def decode(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else marshaller.decode(v) for v in values.to_pylist()], own)
+
+    return decode(data)
+
+
 def dumps(value: Any) -> str:
     """JSON in which datetimes keep their type and microseconds."""
     return json.dumps(value, default=lambda x: {"__datetime__": x.isoformat()} if isinstance(x, datetime) else {"__set__": sorted(x)} if isinstance(x, (set, frozenset)) else _refuse(x))

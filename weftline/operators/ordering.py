@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_shard
 
 
-def hash_sharded(pairs: DataFrame, shards: int, key: str = "key") -> DataFrame:
-    """The rows with their shard by the range of the key's Murmur hash, each shard one partition sorted by key."""
-    return pairs.withColumn("shard", hash_shard(F.col(key), shards)).repartitionById(shards, F.col("shard")).sortWithinPartitions(key)
+def hash_sharded(pairs: DataFrame, shards: int, key: str = "key", sharder: Callable[[Column, int], Column] = hash_shard) -> DataFrame:
+    """The rows with their shard, each shard one partition sorted by key: by the range of the key's Murmur hash, or by a sharder of the user's.
+
+    ``sharder(key, shards)`` is an expression of the shard, from 0; one outside the shards fails the job.
+    """
+    shard = sharder(F.col(key), shards).cast("int")
+    if sharder is not hash_shard:
+        shard = F.when((shard >= 0) & (shard < shards), shard).otherwise(F.raise_error(F.lit(f"a shard outside 0 to {shards - 1}")).cast("int"))
+    return pairs.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions(key)
 
 
 def shuffled(pairs: DataFrame, shards: int, key: str = "key") -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text
+from ..functions import codec, hashing, text
 from ..operators import counters, exchange, grouping, mapping, ordering, schema, sinks, splits
-from ..sources import files, generators, scan
+from ..sources import contract, files, generators, recordlog, scan
+from ..streaming import slices
 from .spec import JobSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,7 +197,15 @@ def bounded_groups_partial_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.bounded_groups(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("value")), 25)
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT p_brand AS key, p_name AS value, row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS n FROM part),
+r AS (
+  SELECT key, value, n, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS size FROM v WHERE n = 1
+  UNION ALL
+  SELECT v.key, v.value, v.n, CASE WHEN r.size >= 1000 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size >= 1000 THEN 0 ELSE r.size + strlen(v.value) END
+  FROM r JOIN v ON v.key = r.key AND v.n = r.n + 1)
+SELECT key, chunk, list(value ORDER BY n) AS values, chunk < max(chunk) OVER (PARTITION BY key) AS partial FROM r GROUP BY key, chunk
+""")
 def size_bounded_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_name").alias("value"))
     return grouping.size_bounded_groups(pairs, 1000)
@@ -361,9 +374,9 @@ def sort_within_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.places(table(spark, sf_dir, "orders"), F.col("o_orderkey") % 8, F.col("o_totalprice"), F.col("o_orderkey")).select("shard", F.col("o_orderkey").alias("key"), "place")
 
 
-@query("SELECT x AS value, row_number() OVER (ORDER BY x) AS place FROM (SELECT DISTINCT o_orderkey - 5000 AS x FROM orders WHERE o_orderkey < 10000)")
+@query("SELECT x AS value, row_number() OVER (ORDER BY x) AS place FROM (SELECT DISTINCT o_orderkey - 5000 AS x FROM orders)")
 def binary_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "orders").where("o_orderkey < 10000").select((F.col("o_orderkey") - 5000).alias("value")).distinct()
+    x = table(spark, sf_dir, "orders").select((F.col("o_orderkey") - 5000).alias("value")).distinct()
     return ordering.ranked(x, text.ordered_long(F.col("value"))).select("value", "place")
 
 
@@ -386,7 +399,16 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.largest(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), 5, F.col("o_orderkey"))
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT source, doc_id, CAST(strlen(text) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+r AS (
+  SELECT source, doc_id, bytes, n, coalesce(bytes, 0) AS total, CAST(0 AS BIGINT) AS segment FROM v WHERE n = 1
+  UNION ALL
+  SELECT v.source, v.doc_id, v.bytes, v.n, CASE WHEN r.total + coalesce(v.bytes, 0) > 20000 THEN coalesce(v.bytes, 0) ELSE r.total + coalesce(v.bytes, 0) END,
+    CASE WHEN r.total + coalesce(v.bytes, 0) > 20000 THEN r.segment + 1 ELSE r.segment END
+  FROM r JOIN v ON v.source IS NOT DISTINCT FROM r.source AND v.n = r.n + 1)
+SELECT source, doc_id, bytes, segment FROM r
+""")
 def size_segmented_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("bytes"))
     return sinks.segments_by_size(rows, "source", "doc_id", F.col("bytes"), 20_000)
@@ -397,7 +419,25 @@ def sharded_output_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_shard(table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("shard")))
 
 
-@query()
+def _murmur_sql() -> str:
+    """Murmur 3 of keys of fewer than eight characters, step by step."""
+    mul = lambda x, by: f"CAST(CAST({x} AS HUGEINT) * {by} % 4294967296 AS BIGINT)"
+    turned = lambda x, by: f"({mul(x, 1 << by)} + ({x} >> {32 - by}))"
+    word = lambda at: " + ".join(f"CASE WHEN n > {at + i} THEN CAST(ascii(s[{at + i + 1}]) AS BIGINT) * {256**i} ELSE 0 END" for i in range(4))
+    return f"""
+WITH k AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, length(CAST(o_orderkey AS VARCHAR)) AS n FROM orders),
+w AS (SELECT o_orderkey, n, {word(0)} AS w1, {word(4)} AS w2 FROM k),
+m AS (SELECT *, {mul("w1", 0xCC9E2D51)} AS a1, {mul("w2", 0xCC9E2D51)} AS a2 FROM w),
+t AS (SELECT *, {turned("a1", 15)} AS b1, {turned("a2", 15)} AS b2 FROM m),
+x AS (SELECT *, {mul("b1", 0x1B873593)} AS k1, {mul("b2", 0x1B873593)} AS k2 FROM t),
+h AS (SELECT *, CASE WHEN n < 4 THEN k1 ELSE ({mul(turned("k1", 13), 5)} + {0xE6546B64}) % 4294967296 END AS h1 FROM x),
+f AS (SELECT *, xor(CASE WHEN n > 4 THEN xor(h1, k2) ELSE h1 END, n) AS f0 FROM h),
+f1 AS (SELECT *, {mul("xor(f0, f0 >> 16)", 0x85EBCA6B)} AS g FROM f),
+f2 AS (SELECT *, {mul("xor(g, g >> 13)", 0xC2B2AE35)} AS g2 FROM f1)
+SELECT o_orderkey, CAST((xor(g2, g2 >> 16) & 2147483647) // {0x7FFFFFFF // 10 + 1} AS INTEGER) AS shard FROM f2"""
+
+
+@query(_murmur_sql())
 def hash_sharder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", hashing.hash_shard(F.col("o_orderkey").cast("string"), 10).alias("shard"))
 
@@ -527,3 +567,305 @@ def mutation_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def peeking_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
     return exchange.with_neighbour(rows, "c_nationkey", "c_custkey", "c_custkey").fillna(-1)
+
+
+# --- nulls, folds and outputs of users' code
+
+
+def _nullable_key() -> Column:
+    return F.when(F.col("l_orderkey") % 4 != 0, F.col("l_orderkey") % 4 + 9007199254740992)
+
+
+_NULLABLE_SQL = "CASE WHEN l_orderkey % 4 <> 0 THEN l_orderkey % 4 + 9007199254740992 END"
+
+
+def _count_up(key, values, so_far):  # noqa: ANN001, ANN202
+    yield len(values) + sum(so_far)
+
+
+@query(f"SELECT {_NULLABLE_SQL} AS key, count(*) AS value FROM lineitem GROUP BY ALL")
+def user_combiner_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select(_nullable_key().alias("key"), F.lit(1).cast("long").alias("value"))
+    return grouping.combined(pairs, _count_up)
+
+
+@query(f"SELECT {_NULLABLE_SQL} AS key, min(l_partkey) AS low, max(l_partkey) AS high, count(*) AS n FROM lineitem GROUP BY ALL")
+def user_reducer_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "lineitem").select(_nullable_key().alias("key"), F.col("l_partkey").alias("value"))
+    return grouping.reduced(pairs, _span, "key long, low long, high long, n long")
+
+
+def _same(row):  # noqa: ANN001, ANN202
+    yield row["k"], row["n"]
+
+
+@query(f"SELECT {_NULLABLE_SQL} AS k, l_linenumber AS n FROM lineitem")
+def user_mapper_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(_nullable_key().alias("k"), F.col("l_linenumber").alias("n"))
+    return mapping.mapped(rows, _same, f"k long, n {rows.schema['n'].dataType.simpleString()}")
+
+
+def _by_region(row):  # noqa: ANN001, ANN202
+    yield "all", row["n_nationkey"], row["n_name"]
+    if row["n_regionkey"] == 1:
+        yield "first", row["n_name"]
+
+
+@query("SELECT 'all' AS output, n_name AS name FROM nation UNION ALL SELECT 'first', n_name FROM nation WHERE n_regionkey = 1")
+def side_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = mapping.mapped_to(table(spark, sf_dir, "nation"), _by_region, {"all": "key long, name string", "first": "name string"})
+    path = files.work_folder(spark, "outputs")
+    both.write.partitionBy("output").parquet(path)  # the mapper runs once for both
+    back = spark.read.schema(both.schema).parquet(path)
+    rows = [mapping.output_of(back, n).select(F.lit(n).alias("output"), "name") for n in ("all", "first")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("SELECT CAST(o_custkey % 7 AS INTEGER) AS shard, o_custkey AS key FROM orders")
+def custom_sharder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
+    return ordering.hash_sharded(pairs, 7, sharder=lambda k, n: k % n)
+
+
+class _Reversed(codec.Marshaller):
+    def encode(self, value: str) -> bytes:
+        return value[::-1].encode()
+
+    def decode(self, data: bytes) -> str:
+        return data.decode()[::-1]
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def marshalled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", codec.marshalled(F.col("p_name"), _Reversed()).alias("b"))
+    return rows.select("p_partkey", codec.unmarshalled(F.col("b"), _Reversed(), "string").alias("p_name"))
+
+
+@query("SELECT replace(phrase, ':', ' ') AS phrase, n FROM (SELECT p_brand || ':' || p_type AS phrase, count(*) AS n FROM part GROUP BY 1)")
+def phrases_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "part").groupBy(F.concat_ws(":", "p_brand", "p_type").alias("phrase")).agg(F.count("*").alias("n"))
+    return counts.select(text.spaced(F.col("phrase")).alias("phrase"), "n")
+
+
+# --- scans and readers beyond tables
+
+
+@query("SELECT * FROM part")
+def binary_row_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part")
+    return scan.of_messages(scan.as_messages(rows, "p_partkey"), rows.schema)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey < 100 THEN 0 WHEN o_orderkey >= 500 AND o_orderkey < 900 THEN 1 ELSE 2 END AS range FROM orders WHERE o_orderkey < 100 OR (o_orderkey >= 500 AND o_orderkey < 900) OR o_orderkey >= 3000")
+def key_range_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.in_ranges(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", [(None, 100), (500, 900), (3000, None)])
+
+
+@query("""
+SELECT event_id FROM (SELECT *, CASE user_id % 5 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'warning' WHEN 3 THEN 'error' ELSE 'critical' END AS level FROM events)
+WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND level IN ('warning', 'error', 'critical') AND event_id % 3 > 0 AND event_id % 2 = 1
+""")
+def log_least_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = F.element_at(F.array(*[F.lit(x) for x in scan.LEVELS]), (F.col("user_id") % 5 + 1).cast("int"))
+    version = F.when(F.col("event_id") % 2 == 1, "v1").otherwise("v2")
+    logs = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("time"), levels.alias("level"), (F.col("event_id") % 3 > 0).alias("finished"), version.alias("version"), F.lit("default").alias("module"))
+    return scan.log_scan(logs, _FROM, _TO, "warning", versions=["v1"]).select("event_id")
+
+
+class Squares(contract.InputReader):
+    """Numbers of a range and their squares, as an example of a user's reader."""
+
+    schema = "n long, square long"
+
+    def __init__(self, at: int, end: int) -> None:
+        self.at, self.end = at, end
+
+    @classmethod
+    def validate(cls, params: dict) -> None:
+        if not params["start"] <= params["end"]:
+            raise contract.BadReader("start must be at most end")
+
+    @classmethod
+    def split(cls, params: dict, shards: int) -> list[contract.InputReader]:
+        points = splits.split_ints(params["start"], params["end"], shards) if params["start"] < params["end"] else []
+        return [cls(a, b) for a, b in zip(points, points[1:], strict=False)]
+
+    def __iter__(self) -> Iterator[tuple]:
+        while self.at < self.end:
+            self.at += 1
+            yield self.at - 1, (self.at - 1) ** 2
+
+    def state(self) -> dict:
+        return {"at": self.at, "end": self.end}
+
+    @classmethod
+    def resumed(cls, state: dict) -> contract.InputReader:
+        return cls(state["at"], state["end"])
+
+
+@query("SELECT n, n * n AS square FROM range(-50, 1000) t(n)")
+def user_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.read(spark, Squares, {"start": -50, "end": 1000}, 6)
+
+
+class Lines(contract.OutputWriter):
+    """A text file a shard, named by the shard; only the attempt that finished last is renamed into the output."""
+
+    def begin(self, params: dict, shard: int, attempt: int) -> None:
+        self.system, folder = files.opened(params["folder"])
+        self.system.create_dir(folder, recursive=True)
+        self.final = f"{folder}/part-{shard:05d}.txt"
+        self.staged = f"{folder}/.part-{shard:05d}-{attempt}"
+        self.out = self.system.open_output_stream(self.staged)
+
+    def write(self, row: tuple) -> None:
+        self.out.write((row[0] + "\n").encode())
+
+    def finish(self) -> list[str]:
+        self.out.close()
+        return [self.staged, self.final]
+
+    @classmethod
+    def commit(cls, params: dict, written: list) -> None:
+        system, _ = files.opened(params["folder"])
+        for staged, final in written:
+            system.move(staged, final)
+
+    @classmethod
+    def abort(cls, params: dict, written: list) -> None:
+        system, _ = files.opened(params["folder"])
+        for staged, _ in written:
+            system.delete_file(staged)
+
+
+@query("SELECT c_name AS record FROM customer")
+def user_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.work_folder(spark, "lines")
+    contract.write(table(spark, sf_dir, "customer").select("c_name").repartition(4), Lines, {"folder": folder})
+    return files.records(spark, f"{folder}/part-*.txt")
+
+
+# --- files written and read back
+
+
+@query("SELECT o_orderkey || '|' || o_orderstatus AS line FROM orders")
+def file_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.work_folder(spark, "text")
+    lines = table(spark, sf_dir, "orders").select(F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("value"))
+    return files.lines_at(spark, sinks.write_text(lines, folder), 8, 4096).select("line")
+
+
+@query("SELECT n_name AS record FROM nation UNION ALL SELECT n_name FROM nation")
+def file_records_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.work_folder(spark, "records")
+    paths = sinks.write_text(table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")).repartition(3), folder, "\x1e")
+    return files.records(spark, paths + paths, "\x1e")
+
+
+@query("SELECT shard, count(*) AS n FROM (SELECT o_orderkey % 5 AS shard FROM orders) WHERE shard IN (1, 3) GROUP BY shard")
+def sharded_files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.work_folder(spark, "shards")
+    sinks.write_sharded(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey") % 5, 5, folder)
+    return _per_shard(spark.read.parquet(folder).where("shard in (1, 3)").select(F.col("shard").cast("long").alias("shard")))
+
+
+@query("SELECT r_regionkey AS key, length(r_name) AS size FROM region WHERE r_regionkey % 2 = 0")
+def whole_files_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.work_folder(spark, "whole")
+    rows = table(spark, sf_dir, "region").select(F.col("r_name").alias("value"), F.col("r_regionkey").alias("key"))
+    rows.repartitionById(5, F.col("key").cast("int")).write.partitionBy("key").option("lineSep", "\x1f").text(folder)
+    key = F.regexp_extract("path", r"key=(\d+)/", 1).cast("long")
+    found = files.files(spark, [folder], keep=F.endswith("path", F.lit(".txt")) & (key % 2 == 0), shallow=False)
+    return found.select(key.alias("key"), (F.octet_length("content") - 1).cast("long").alias("size"))  # without the separator
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def record_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordlog.register(spark)
+    folder = files.work_folder(spark, "log")
+    pairs = table(spark, sf_dir, "part").select(codec.pair_column(F.col("p_partkey").cast("string"), F.col("p_name")).alias("record"))
+    pairs.repartition(3).write.format("recordlog").mode("append").save(folder)
+    back = spark.read.format("recordlog").option("blocks", 1).load(folder).select(codec.pair_columns(F.col("record")).alias("p"))
+    return back.select(F.col("p.key").cast("string").cast("long").alias("p_partkey"), F.col("p.value").cast("string").alias("p_name"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS key, list_sort(list(CAST(o_orderkey AS VARCHAR))) AS values FROM orders GROUP BY ALL")
+def shuffled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordlog.register(spark)
+    into, out = files.work_folder(spark, "pairs"), files.work_folder(spark, "groups")
+    pairs = table(spark, sf_dir, "orders").select(codec.pair_column(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("record"))
+    pairs.write.format("recordlog").mode("append").save(into)
+    exchange.shuffle_files(spark, [into], out, 4, 5)
+    groups = spark.read.format("recordlog").load(out).select(codec.group_columns(F.col("record")).alias("g")).select("g.*")
+    joined = groups.groupBy(F.col("key").cast("string").alias("key")).agg(F.array_sort(F.flatten(F.collect_list(F.transform("values", lambda v: v.cast("string"))))).alias("values"))
+    return joined
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                for name in r["names"]:
+                    z.writestr(f"{name}.txt", f"{name}\n{len(name)}\n")
+            yield pa.RecordBatch.from_pydict({"path": [str(r["region"])], "content": [held.getvalue()]}, pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+
+_NAMES_SQL = "SELECT CAST(n_regionkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS file_index, n_name FROM nation"
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    return names.mapInArrow(_zipped, "path string, content binary")
+
+
+@query(f"SELECT path, CAST(file_index AS INTEGER) AS file_index, n_name || '.txt' AS filename, CAST(strlen(n_name) + 2 + length(CAST(strlen(n_name) AS VARCHAR)) AS BIGINT) AS file_size FROM ({_NAMES_SQL})")
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.unzipped(_archives(spark, sf_dir)).drop("content")
+
+
+@query(f"""
+SELECT path, CAST(file_index AS INTEGER) AS file_index, CAST(0 AS BIGINT) AS byte_offset, n_name AS line FROM ({_NAMES_SQL})
+UNION ALL SELECT path, CAST(file_index AS INTEGER), CAST(strlen(n_name) + 1 AS BIGINT), CAST(strlen(n_name) AS VARCHAR) FROM ({_NAMES_SQL})
+""")
+def zip_member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.zip_lines(_archives(spark, sf_dir))
+
+
+@query("SELECT n_name AS name, n_regionkey || ':' || left(n_name, CAST(n_regionkey AS INTEGER)) AS content FROM nation")
+def stitched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation")
+    first = rows.select(F.col("n_name").alias("name"), F.lit(0).alias("seq"), F.lit(2).alias("valid_length"), F.concat("n_regionkey", F.lit(":lost")).cast("binary").alias("content"))
+    second = rows.select(F.col("n_name").alias("name"), F.lit(1).alias("seq"), F.col("n_regionkey").cast("int").alias("valid_length"), F.col("n_name").cast("binary").alias("content"))
+    return files.stitched(second.unionByName(first)).select("name", F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def json_table_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = files.work_folder(spark, "json")
+    of = sinks.write_json(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), folder)
+    return sinks.load_json(spark, folder, of)
+
+
+# --- slices
+
+
+@query("SELECT event_type AS key, count(*) AS value FROM events GROUP BY ALL")
+def sliced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    into, out = files.work_folder(spark, "slices"), files.work_folder(spark, "counts")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type")
+    rows.repartition(3, "event_id").write.parquet(into)
+    each = lambda df, n: df.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/slice={n}")
+    slices.run_available(slices.sliced(spark, into, rows.schema), each, files.work_folder(spark, "checkpoint"))
+    return spark.read.parquet(out).groupBy(F.col("event_type").alias("key")).agg(F.sum("n").alias("value"))
+
+
+@query("SELECT event_type AS key, count(*) AS value FROM events GROUP BY ALL")
+def sliced_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    into, out = files.work_folder(spark, "slices"), files.work_folder(spark, "folds")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type")
+    rows.repartition(3, "event_id").write.parquet(into)
+    stream = slices.sliced(spark, into, rows.schema).select(F.col("event_type").alias("key"), F.col("event_id").alias("value"))
+    each = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/slice={n}")
+    slices.running_fold(stream, _count_up, "bigint", files.work_folder(spark, "checkpoint"), each)
+    return spark.read.parquet(out).groupBy("key").agg(F.max_by("value", "slice").alias("value"))

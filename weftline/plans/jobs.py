@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..operators.counters import observed
+from .settings import Settings
 from .spec import JobSpec
 
 
@@ -55,6 +56,8 @@ class Job:
     _thread: threading.Thread | None = None
     _stop: threading.Event = field(default_factory=threading.Event)
 
+    _held: DataFrame | None = None
+
     def wait(self, seconds: float | None = None) -> Job:
         if self._thread:
             self._thread.join(seconds)
@@ -66,31 +69,46 @@ class Job:
         self.spark.sparkContext.cancelJobGroup(self.id)
 
 
+class Hooks:
+    """What a user wants to be told of jobs, on the driver. An error in a hook before an attempt fails the job."""
+
+    def started(self, job: Job) -> None: ...
+
+    def attempt(self, job: Job, number: int) -> None: ...
+
+    def ended(self, job: Job) -> None: ...
+
+
 class Engine:
     """Starts jobs and remembers them."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.jobs = spark, {}
+    def __init__(self, spark: SparkSession, hooks: Hooks | None = None, settings: Settings | None = None) -> None:
+        self.settings, self.hooks = settings or Settings(), hooks or Hooks()
+        self.spark, self.jobs = self.settings.session(spark) if self.settings.conf() else spark, {}
 
-    def start(self, spec: JobSpec, attempts: int = 1, done: Callable[[Job], None] | None = None, **counts: Column) -> Job:
+    def start(self, spec: JobSpec, attempts: int | None = None, done: Callable[[Job], None] | None = None, **counts: Column) -> Job:
         """Runs in a thread of its own. ``counts`` are summed over the result's rows while they are made.
 
-        A spec without a sink writes nothing and leaves its DataFrame as the result.
+        A spec without a sink leaves its rows as the result, held by Spark until the job is cleaned up, so they are
+        made once.
         """
+        attempts = attempts or self.settings.attempts
         job = Job(f"job-{uuid.uuid4().hex[:12]}", spec.name, self.spark)
         self.jobs[job.id] = job
 
         def run() -> None:
             self.spark.sparkContext.setJobGroup(job.id, spec.name, interruptOnCancel=True)  # of this thread alone
             try:
+                self.hooks.started(job)
                 for attempt in range(attempts):
                     try:
+                        self.hooks.attempt(job, attempt)
                         rows, seen = observed(spec.build(self.spark), **counts)
                         if spec.sink:
                             job.result = spec.sink(rows)
                         else:
-                            rows.write.format("noop").mode("overwrite").save()
-                            job.result = spec.build(self.spark)
+                            job.result = job._held = rows.persist()
+                            job.result.write.format("noop").mode("overwrite").save()
                         job.counters = {k: v or 0 for k, v in seen.get.items()}
                         job.status = Status.SUCCESS
                         return
@@ -101,6 +119,7 @@ class Engine:
             except Exception:
                 job.status = Status.ABORTED if job._stop.is_set() else Status.FAILED
             finally:
+                self.hooks.ended(job)
                 if done:
                     done(job)
 
@@ -125,7 +144,16 @@ class Engine:
         by_time = sorted(self.jobs.values(), key=lambda j: -j.started)
         return [{"id": j.id, "name": j.name, "status": j.status.value, "started": j.started} for j in by_time[first : first + n]]
 
-    def clean_up(self, job: Job) -> None:
+    def clean_up(self, job: Job, *files: str) -> None:
+        """Forgets a job that has ended, frees the rows it holds and deletes ``files`` and folders it has left."""
+        if job.status is Status.RUNNING:
+            raise ValueError(f"{job.id} is still running")
+        if job._held is not None:
+            job._held.unpersist()
+        conf, path = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for f in files:
+            at = path(f)
+            at.getFileSystem(conf).delete(at, True)
         self.jobs.pop(job.id, None)
 
 

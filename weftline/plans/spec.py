@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..operators.mapping import mapped, named
+
 MOST_REDUCERS = 2048
 
 Step = Callable[[DataFrame], DataFrame]
@@ -60,13 +63,18 @@ class JobSpec:
         return replace(self, params={**self.params, **params})
 
 
-def registry(configs: list[dict[str, Any]]) -> dict[str, dict[str, Any]]:
-    """Named job configurations with user parameters: unique names, a mapper each, defaults filled in."""
+def registry(configs: list[dict[str, Any]] | str) -> dict[str, dict[str, Any]]:
+    """Named job configurations with user parameters: unique names, a mapper each, defaults filled in.
+
+    A list, or a text of YAML (or JSON, where no YAML parser is installed) with the list under ``mapreduce``.
+    """
+    if isinstance(configs, str):
+        configs = _parsed(configs)
     out: dict[str, dict[str, Any]] = {}
     for c in configs:
-        unknown = set(c) - {"name", "mapper", "params", "done"}
+        unknown = set(c) - {"name", "mapper", "params", "done", "validator"}
         if unknown or not c.get("name") or not c.get("mapper"):
-            raise BadSpec(f"a configuration has name, mapper, params and done; this one: {sorted(c)}")
+            raise BadSpec(f"a configuration has name, mapper, params, validator and done; this one: {sorted(c)}")
         if c["name"] in out:
             raise BadSpec(f"{c['name']!r} is there twice")
         params = {}
@@ -76,3 +84,35 @@ def registry(configs: list[dict[str, Any]]) -> dict[str, dict[str, Any]]:
             params[p["name"]] = p.get("value", p.get("default"))
         out[c["name"]] = {**c, "params": params}
     return out
+
+
+def _parsed(text: str) -> list[dict[str, Any]]:
+    try:
+        import yaml
+    except ImportError:
+        yaml = None
+    try:
+        found = yaml.safe_load(text) if yaml else json.loads(text)
+    except Exception as error:
+        raise BadSpec(f"the configuration can't be read: {error}") from error
+    if not isinstance(found, dict) or not isinstance(found.get("mapreduce"), list):
+        raise BadSpec("a configuration lists its jobs under mapreduce")
+    return found["mapreduce"]
+
+
+def bound(config: dict[str, Any], source: Callable[[SparkSession], DataFrame], schema: str, sink: Callable[[DataFrame], Any] | None = None, **params: Any) -> JobSpec:
+    """The map-only job of a registered configuration: its mapper looked up by name, its parameters checked by its validator.
+
+    ``params`` replace configured ones; names that the configuration doesn't have are refused.
+    """
+    unknown = set(params) - set(config["params"])
+    if unknown:
+        raise BadSpec(f"{config['name']!r} has no parameters {', '.join(sorted(unknown))}")
+    own = {**config["params"], **params}
+    missing = sorted(k for k, v in own.items() if v is None)
+    if missing:
+        raise BadSpec(f"{config['name']!r} needs {', '.join(missing)}")
+    if config.get("validator"):
+        named(config["validator"])(own)
+    handler = named(config["mapper"])
+    return JobSpec(config["name"], source=source, mapper=lambda rows: mapped(rows, handler, schema), sink=sink, params=own)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -10,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.splits import byte_ranges
+
 
 def records(spark: SparkSession, paths: str | Sequence[str], separator: str = "\n") -> DataFrame:
     """(record): what stands between separators; one at the end adds no empty record. Spark splits large files."""
@@ -50,6 +54,80 @@ def line_offsets(texts: DataFrame, key: str, text: str, separator: str = "\n") -
     return kept.select(key, F.coalesce(F.sum(F.octet_length("line") + sep).over(before), F.lit(0)).cast("long").alias("byte_offset"), "line")
 
 
+def opened(path: str):  # noqa: ANN201
+    """(file system, path in it) of a path or URI that executors reach."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def lines_at(spark: SparkSession, paths: Sequence[str], shards: int = 8, least_bytes: int = 1 << 20) -> DataFrame:
+    """(path, byte_offset, line) of files' lines, read by byte ranges: a line belongs to the range that its first byte is in.
+
+    Each file is cut into at most ``shards`` ranges of ``least_bytes`` or more; no task reads more than its range and the
+    end of its last line. Lines end with a line feed; bytes that are no UTF-8 are replaced.
+    """
+    ranges = []
+    for path in paths:
+        system, inside = opened(path)
+        size = system.get_file_info(inside).size or 0
+        ranges += [(path, a, b) for a, b in byte_ranges(size, shards, least_bytes)] if size else []
+    schema = "path string, byte_offset long, line string"
+    if not ranges:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, inside = opened(r["path"])
+                with system.open_input_file(inside) as raw:
+                    raw.seek(max(0, r["low"] - 1))
+                    with io.BufferedReader(_Raw(raw)) as f:
+                        at = max(0, r["low"] - 1)
+                        if r["low"]:
+                            at += len(f.readline())  # the end of a line that began before, or one line feed
+                        offsets, lines = [], []
+                        while at < r["high"] and (line := f.readline()):
+                            offsets.append(at)
+                            lines.append(line.removesuffix(b"\n").decode("utf-8", "replace"))
+                            at += len(line)
+                            if len(lines) == 10_000 or at >= r["high"]:
+                                yield pa.RecordBatch.from_pydict({"path": [r["path"]] * len(lines), "byte_offset": offsets, "line": lines}, _LINES)
+                                offsets, lines = [], []
+                        if lines:
+                            yield pa.RecordBatch.from_pydict({"path": [r["path"]] * len(lines), "byte_offset": offsets, "line": lines}, _LINES)
+
+    return spark.createDataFrame(ranges, "path string, low long, high long").repartition(len(ranges), "path", "low").mapInArrow(run, schema)
+
+
+_LINES = pa.schema([("path", pa.string()), ("byte_offset", pa.int64()), ("line", pa.string())])
+
+
+class _Raw(io.RawIOBase):
+    """An Arrow file as Python's raw streams, for buffered lines."""
+
+    def __init__(self, file) -> None:  # noqa: ANN001
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:  # noqa: ANN001
+        got = self.file.read(len(into))
+        into[: len(got)] = got
+        return len(got)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name under ``spark.checkpoint.dir``, which all executors reach; local mode may do without the setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        base = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _quoted(separator: str) -> str:
     return "".join(rf"\x{ord(c):02x}" for c in separator)
 

@@ -6,17 +6,17 @@ doesn't fit is spread over fragments of kinds first, middle and last. Fewer than
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from glob import glob
+from fnmatch import fnmatch
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.hashing import crc32c, masked
+from .files import opened
 
 BLOCK, HEADER = 32 * 1024, 7
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
@@ -86,26 +86,88 @@ def decode(data: bytes, permissive: bool = False) -> Iterator[bytes]:
         raise CorruptRecords("the last record has no end")
 
 
+def decode_from(blocks: Iterator[bytes], own: int, first: bool, permissive: bool = False) -> Iterator[bytes]:
+    """The records that begin in the first ``own`` of some blocks; where these aren't the file's ``first``, the rest of a record before is passed over."""
+    parts: list[bytes] | None = None
+    skip = not first
+    for n, block in enumerate(blocks):
+        try:
+            for kind, piece in _fragments(block):
+                if skip and kind in (MIDDLE, LAST):
+                    continue
+                skip = False
+                if (kind in (FULL, FIRST)) != (parts is None):
+                    if not permissive:
+                        raise CorruptRecords("fragments out of order")
+                    parts = None
+                    if kind in (MIDDLE, LAST):
+                        continue
+                if kind in (FULL, FIRST) and n >= own:
+                    return
+                if kind == FULL:
+                    yield piece
+                    continue
+                parts = [*(parts or []), piece]
+                if kind == LAST:
+                    yield b"".join(parts)
+                    parts = None
+        except CorruptRecords:
+            if not permissive:
+                raise
+            parts = None
+        if n + 1 >= own and parts is None:
+            return
+    if parts is not None and not permissive:
+        raise CorruptRecords("the last record has no end")
+
+
+#: Blocks of a file that one task reads.
+TASK_BLOCKS = 1024
+
+
 @dataclass
-class _File(InputPartition):
+class _Blocks(InputPartition):
     path: str
+    first: int
+    blocks: int
 
 
 class _Reader(DataSourceReader):
+    """Files of a folder, a file or a glob; a large file is cut at its blocks, so no task holds one."""
+
     def __init__(self, options: dict) -> None:
         self.path, self.permissive = options["path"], options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.task_blocks = int(options.get("blocks", TASK_BLOCKS))
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(glob(os.path.join(self.path, "*.log"))) if os.path.isdir(self.path) else sorted(glob(self.path))
-        return [_File(n) for n in names] or [_File("")]
+        out: list[InputPartition] = []
+        for path, size in listed(self.path):
+            n = -(-size // BLOCK)
+            out += [_Blocks(path, b, min(self.task_blocks, n - b)) for b in range(0, n, self.task_blocks)]
+        return out or [_Blocks("", 0, 0)]
 
-    def read(self, partition: _File) -> Iterator[tuple[bytes]]:
+    def read(self, partition: _Blocks) -> Iterator[tuple[bytes]]:
         if partition.path:
-            with open(partition.path, "rb") as f:
-                for record in decode(f.read(), self.permissive):
+            system, inside = opened(partition.path)
+            with system.open_input_file(inside) as f:
+                f.seek(partition.first * BLOCK)
+                for record in decode_from(iter(lambda: f.read(BLOCK), b""), partition.blocks, partition.first == 0, self.permissive):
                     yield (record,)
 
 
+def listed(path: str) -> list[tuple[str, int]]:
+    """(path, size) of the logs that a folder, a file or a glob names, in order."""
+    from pyarrow import fs
+
+    system, inside = opened(path)
+    scheme = path[: len(path) - len(path.split("://", 1)[-1])] if "://" in path else ""
+    folder = inside if not any(c in inside for c in "*?[") and system.get_file_info(inside).type == fs.FileType.Directory else inside.rpartition("/")[0]
+    pattern = f"{inside.rstrip('/')}/*.log" if folder == inside else inside
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    names = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and fnmatch(f.path, pattern) and not f.base_name.startswith("."))
+    return [(f"{scheme}{n}", size) for n, size in names]
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     staged: str
@@ -121,29 +183,35 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        system, inside = opened(self.path)
+        system.create_dir(inside, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.log"
-        staged = os.path.join(self.path, f".{name}")
-        with open(staged, "wb") as f:
-            f.writelines(encode(bytes(r[0]) for r in rows))
-        return _Written(staged, os.path.join(self.path, name))
+        staged = f"{inside.rstrip('/')}/.{name}"
+        with system.open_output_stream(staged) as f:
+            for piece in encode(bytes(r[0]) for r in rows):
+                f.write(piece)
+        return _Written(staged, f"{inside.rstrip('/')}/{name}")
 
     def commit(self, messages: list) -> None:
+        system, _ = opened(self.path)
         if self.overwrite:
-            for old in glob(os.path.join(self.path, "*.log")):
-                os.remove(old)
+            for old, _ in listed(self.path):
+                system.delete_file(opened(old)[1])
         for m in messages:
             if m is not None:
-                os.replace(m.staged, m.final)
+                system.move(m.staged, m.final)
 
     def abort(self, messages: list) -> None:
+        from pyarrow import fs
+
+        system, _ = opened(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.staged):
-                os.remove(m.staged)
+            if m is not None and system.get_file_info(m.staged).type == fs.FileType.File:
+                system.delete_file(m.staged)
 
 
 class RecordLog(DataSource):
-    """Files ``*.log`` of a folder that all executors reach; options path and mode (FAILFAST or PERMISSIVE)."""
+    """Files ``*.log`` of a folder that all executors reach, a path or a URI; options path, mode (FAILFAST or PERMISSIVE) and blocks (of a task)."""
 
     @classmethod
     def name(cls) -> str:

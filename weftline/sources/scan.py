@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.codec import pair_column, pair_columns
 from ..operators import splits
 
 OPS = {"=": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
@@ -161,6 +162,56 @@ def log_range(logs: DataFrame, time: str, start: datetime, end: datetime, equals
     return out
 
 
+#: Levels of log lines, least first.
+LEVELS = ("debug", "info", "warning", "error", "critical")
+
+
+def log_scan(logs: DataFrame, start: datetime, end: datetime, least_level: str | None = None, with_incomplete: bool = False, versions: Sequence[str] | None = None, module_versions: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Logs of [start, end) by columns ``time``, ``level``, ``finished``, ``version`` and ``module``.
+
+    Lines of ``least_level`` or above; records that haven't finished only ``with_incomplete``; of the given versions of
+    the default module or of the given (module, version) pairs, not both. Nulls of level or finished don't pass.
+    """
+    if (versions is not None) and (module_versions is not None):
+        raise BadScanParams("give versions or pairs of module and version, not both")
+    out = log_range(logs, "time", start, end)
+    if least_level is not None:
+        if least_level not in LEVELS:
+            raise BadScanParams(f"level {least_level!r} is none of {' '.join(LEVELS)}")
+        out = out.where(F.col("level").isin(list(LEVELS[LEVELS.index(least_level) :])))
+    if not with_incomplete:
+        out = out.where("finished")
+    if versions is not None:
+        out = out.where((F.col("module") == "default") & F.col("version").isin(list(versions)))
+    if module_versions is not None:
+        out = out.where(reduce(operator.or_, ((F.col("module") == m) & (F.col("version") == v) for m, v in module_versions), F.lit(False)))
+    return out
+
+
+def in_ranges(table: DataFrame, key: str, ranges: Sequence[tuple[Any, Any]]) -> DataFrame:
+    """The rows whose key lies in one of the half-open ranges, once each, with the number of the first; None leaves a side open."""
+    shard = F.lit(None).cast("int")
+    for i in range(len(ranges) - 1, -1, -1):
+        low, high = ranges[i]
+        inside = F.lit(True)
+        if low is not None:
+            inside = inside & (F.col(key) >= F.lit(low))
+        if high is not None:
+            inside = inside & (F.col(key) < F.lit(high))
+        shard = F.when(inside, i).otherwise(shard)
+    return table.withColumn("range", shard).where(F.col(key).isNotNull() & F.col("range").isNotNull())
+
+
+def as_messages(table: DataFrame, key: str) -> DataFrame:
+    """(message): each row in a binary form of its own, its key and all of it as JSON; ``of_messages`` reads it back."""
+    return table.select(pair_column(F.col(key).cast("string"), F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})).alias("message"))
+
+
+def of_messages(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    value = pair_columns(F.col("message"))["value"].cast("string")
+    return messages.select(F.from_json(value, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def scatter_points(table: DataFrame, key: str, n: int, oversample: int = 32) -> list:
     """At most n - 1 keys that cut a table into near-equal parts, from a bounded sample in hashed order."""
     picked = sorted(r[0] for r in table.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(oversample * n).collect())
