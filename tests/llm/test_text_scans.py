@@ -250,3 +250,58 @@ def test_against_all_pairs():
     got = {(d, i): e for d, i, e, _ in finder.find(texts) if i in lsh}
     assert set(got) <= set(want) and all(e >= want[k] for k, e in got.items())
     assert len(got) >= 0.95 * len(want) > 30
+
+
+def test_randomness_battery(spark):
+    """Each test's statistic and the false-discovery rule, again in plain Python with the exact normal distribution."""
+    from math import ceil, erf, floor, log2, log10, sqrt
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    cdf = lambda z: (1 + erf(z / sqrt(2))) / 2
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 90))) for a in secrets.ALPHABETS for _ in range(12)]
+    tokens += ["a" * 30, "ab" * 20, "abcdefghijklmnopqrstuvwxyz", "CamelCaseIdentifierOfSomeKind", "snake_case_identifier_of_some_kind", "0" * 25 + "1", "+/_-" * 6]
+    tokens = list(dict.fromkeys(tokens))
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(8, 18))) for _ in range(400))
+    docs = spark.createDataFrame([(i, f"{t} {prose if i == 0 else ''}") for i, t in enumerate(tokens)], "doc_id long, text string")
+    model = secrets.text_model(docs)
+    tested = "array(named_struct('at', 0L, 'end', 0L, 'match', match))"
+    df = spark.createDataFrame([(t,) for t in tokens], "match string").select("match", F.explode_outer(F.expr(secrets._tested(tested, model))).alias("t")).select("match", "t.*")
+    got = {r["match"]: r for r in df.collect()}
+    for t in tokens:
+        alphabet = next((a for a in secrets.ALPHABETS if set(t) <= set(a)), None)
+        if alphabet is None:
+            assert got[t].n is None
+            continue
+        n, k, i = len(t), len(alphabet), [alphabet.index(c) for c in t]
+        chi = sum((t.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+        even = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1)))
+        high = [v * 2 >= k for v in i]
+        up, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+        both = 2 * up * (n - up)
+        var = both * (both - n) / (n * n * (n - 1))
+        mean = sum(i) / n
+        spread = sum((v - mean) ** 2 for v in i)
+        p = [1 - cdf(even), 2 * cdf(-abs(runs - both / n - 1) / sqrt(var)) if var > 0 else 0.0]
+        p.append(2 * cdf(-abs(sum((a - mean) * (b - mean) for a, b in zip(i, i[1:], strict=False)) / spread + 1 / n) * sqrt(n)) if spread else 0.0)
+        assert got[t].p_random == pytest.approx(min(1, 3 * min(p)), abs=2e-3)
+        apart, q2, q3 = model.moments[alphabet]
+        z = (chi - (k - 1 + (n - 1) * apart)) / sqrt(2 * (k - 1) + 4 * n * k * k * max(0, q3 - q2 * q2))
+        assert got[t].p_text == pytest.approx(max(1e-15, cdf(z)), abs=1e-3)
+    by_class = {}
+    for r in got.values():
+        if r.n is not None and len(r["match"]) >= 20:
+            by_class.setdefault(floor(log2(r.n)), []).append(10 ** (ceil(round(log10(r.p_text) * secrets.STEPS, 9)) / secrets.STEPS))
+    found = secrets.cutoffs(spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "doc_id long, text string"), model)
+    for c, own in by_class.items():
+        passing = [p for p in own if p <= secrets.FALSE_SHARE * sum(x <= p for x in own) / len(own) * (1 + 1e-12)]
+        assert found.get(c) == (pytest.approx(max(passing), rel=1e-9) if passing else None)
+
+
+def test_licenses_of_long_texts_and_clashing_names(spark):
+    text = "filler words go here " * 40_000 + "released under CC BY, All Rights Reserved. " + "and more filler " * 40_000
+    docs = spark.createDataFrame([(1, text), (2, "cc by"), (None, None)], "doc_id long, text string").selectExpr("*", "1 AS n_words", "2 AS labels", "3 AS score", "4 AS words", "5 AS word")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert set(got) == {1, 2, None} and got[1].n_base == 2 and got[1].first_word == 160_002 and got[1].last_word == 160_004
+    assert got[1].n_words == 160_000 + 7 + 120_000 and got[None].n_words == 0 and got[None].first_word is None
