@@ -164,14 +164,14 @@ def positive(params):
 
 
 def test_configurations(spark):
-    text = json.dumps({"mapreduce": [{"name": "even", "mapper": "test_contracts.only_even", "validator": "test_contracts.positive", "params": [{"name": "n", "default": 10}, {"name": "must"}]}]})
+    text = json.dumps({"jobs": [{"name": "even", "mapper": "test_contracts.only_even", "validator": "test_contracts.positive", "params": [{"name": "n", "default": 10}, {"name": "must"}]}]})
     config = spec.registry(text)["even"]
     job = spec.bound(config, lambda s: s.range(10), "x long", must="given")
     assert sorted(r.x for r in job.build(spark).collect()) == [0, 2, 4, 6, 8] and job.params == {"n": 10, "must": "given"}
     for bad in ({"must": 1, "n": 0}, {}, {"must": 1, "other": 2}):
         with pytest.raises(spec.BadSpec):
             spec.bound(config, lambda s: s.range(10), "x long", **bad)
-    for bad in ("{", "[]", '{"mapreduce": 3}', '{"mapreduce": [{"name": "x"}]}'):
+    for bad in ("{", "[]", '{"jobs": 3}', '{"jobs": [{"name": "x"}]}'):
         with pytest.raises(spec.BadSpec):
             spec.registry(bad)
 

@@ -66,7 +66,7 @@ class JobSpec:
 def registry(configs: list[dict[str, Any]] | str) -> dict[str, dict[str, Any]]:
     """Named job configurations with user parameters: unique names, a mapper each, defaults filled in.
 
-    A list, or a text of YAML (or JSON, where no YAML parser is installed) with the list under ``mapreduce``.
+    A list, or a text of YAML (or JSON, where no YAML parser is installed) with the list under its one key.
     """
     if isinstance(configs, str):
         configs = _parsed(configs)
@@ -95,9 +95,10 @@ def _parsed(text: str) -> list[dict[str, Any]]:
         found = yaml.safe_load(text) if yaml else json.loads(text)
     except Exception as error:
         raise BadSpec(f"the configuration can't be read: {error}") from error
-    if not isinstance(found, dict) or not isinstance(found.get("mapreduce"), list):
-        raise BadSpec("a configuration lists its jobs under mapreduce")
-    return found["mapreduce"]
+    lists = list(found.values()) if isinstance(found, dict) else []
+    if len(lists) != 1 or not isinstance(lists[0], list):
+        raise BadSpec("a configuration has one key, and under it a list of jobs")
+    return lists[0]
 
 
 def bound(config: dict[str, Any], source: Callable[[SparkSession], DataFrame], schema: str, sink: Callable[[DataFrame], Any] | None = None, **params: Any) -> JobSpec:
