@@ -5,9 +5,12 @@ import enum
 import io
 import os
 import zipfile
+from collections import Counter
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -476,3 +479,42 @@ def test_json_load(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.load_json(spark, f"{tmp_path}/bad.json", schema_json).collect()
     assert schema.table_schema(schema.spark_schema(schema.table_schema(rows.schema))) == schema.table_schema(rows.schema)
+
+
+def test_majority_shuffles_only_hashes_of_rare_keys(spark):
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    rows, before = 200_000, shuffled()
+    rare = spark.range(0, rows, 1, 4).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("key"), F.lit("x").alias("value"))
+    often = spark.range(0, 11, 1, 4).select(F.explode(F.array(F.lit(None), F.lit(""), F.lit("often"))).alias("key"), F.when(F.col("id") < 6, "y").alias("value"))
+    assert sorted(grouping.majority(rare.union(often)).collect(), key=repr) == [("", "y", 6), ("often", "y", 6), (None, "y", 6)]
+    assert shuffled() - before < 12 * rows
+
+
+def test_frequent_keys(spark):
+    numbers = spark.sql("SELECT IF(id % 2 = 0, 0.0D, -0.0D) AS key, id FROM range(10) UNION ALL SELECT -id, id FROM range(1, 9)")
+    assert grouping.frequent(numbers, 10).where("key = 0").count() == 10
+    assert grouping.frequent(numbers.limit(0), 10).columns == ["key", "id"] and grouping.frequent(numbers.limit(0), 10).count() == 0
+    assert grouping.frequent(numbers, 1).count() == 18
+    same = spark.sql("SELECT IF(id % 2 = 0, 'a', 'A') COLLATE UTF8_LCASE AS key, 'x' AS value FROM range(10)")
+    assert [(r.key.lower(), r.n) for r in grouping.majority(same).collect()] == [("a", 10)]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, (1 << 44) - 1), st.integers(1, 12)), max_size=60), st.integers(1, 40), st.integers(2, 10))
+def test_frequent_slots(pairs, size, least):
+    found = Counter()
+    for slot, n in pairs:
+        found[slot] += n
+    slots = np.array([slot for n in range(12) for slot, k in found.items() for _ in range(k // 12 + (n < k % 12))], np.int64)
+    blocks = [b for at in range(0, len(slots), size) for b in grouping._slot_blocks(iter([pa.RecordBatch.from_arrays([pa.array(slots[at : at + size])], ["_slot"])]))]
+    rows = sorted((r["part"], r["slots"], r["counts"]) for b in blocks for r in b.to_pylist())
+    sent = [pa.RecordBatch.from_arrays([pa.array([r], kind) for r, kind in zip(row, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "slots", "counts"]) for row in rows]
+    frequent = [b for b in grouping._frequent_slots(iter(sent), least)]
+    assert sorted(s for b in frequent for s in b.column(0).to_pylist()) == sorted(s for s, n in found.items() if n >= least)
+    words = next(grouping._filter_words(iter(frequent))).column(0).to_pylist()[0]
+    bits = lambda s: sum(1 << b for b in {s >> k & 63 for k in grouping._FILTER_SHIFTS})
+    assert all(words[s & (len(words) - 1)] & bits(s) == bits(s) for s, n in found.items() if n >= least)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def sentences(text: Column) -> Column:
     """White space collapsed, then cut at ``.``, ``?``, ``!`` and backslashes; empty pieces stay."""
-    return F.split(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[\\.?!]", "\n"), "\n", -1)
+    return F.split(F.regexp_replace(text, r"\s+", " "), r"[\\.?!]", -1)
 
 
 def words(text: Column) -> Column:
@@ -23,9 +23,17 @@ def spaced(phrase: Column, joint: str = ":") -> Column:
 
 def phrases(parts: Column, n: int = 4, joint: str = ":") -> Column:
     """n-grams of an array of words. The last n-gram is left out; fewer than n words give one phrase of them all."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(parts) - n - 1), lambda i: F.array_join(F.slice(parts, i + 1, n), joint))
-    none = F.array().cast("array<string>")
-    return F.when(F.size(parts) < n, F.array(F.array_join(parts, joint))).when(F.size(parts) > n, grams).otherwise(none)
+    return F.transform(phrase_starts(parts, n), lambda i: phrase_at(parts, i, n, joint))
+
+
+def phrase_starts(parts: Column, n: int = 4) -> Column:
+    """Where the ``phrases`` of an array of words start. Exploded, they are far cheaper to join than in the array."""
+    none = F.array().cast("array<int>")
+    return F.when(F.size(parts) < n, F.array(F.lit(0))).when(F.size(parts) > n, F.sequence(F.lit(0), F.size(parts) - n - 1)).otherwise(none)
+
+
+def phrase_at(parts: Column, start: Column, n: int = 4, joint: str = ":") -> Column:
+    return F.concat_ws(joint, *[F.get(parts, start + k) for k in range(n)])
 
 
 def characters(text: Column) -> Column:

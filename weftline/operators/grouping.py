@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby, islice
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ from pyspark.sql import types as T
 
 from .mapping import arrow_batches
 
+#: Hashes are counted by their first 44 bits: 12 name one of 4,096 parts, 32 a slot of it.
+SLOT_BITS, PART_BITS = 44, 12
+#: Hashes that a task sorts and counts at a time, and the words of the largest filter (32 MB).
+BLOCK, MOST_WORDS = 1 << 21, 1 << 22
+
 
 def grouped(pairs: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """(key, values): each key once with its values in order. For keys whose values fit a task; else ``bounded_groups``."""
@@ -128,12 +134,80 @@ def nothing(df: DataFrame) -> DataFrame:
 
 
 def majority(pairs: DataFrame, least: int = 10, key: str = "key", value: str = "value") -> DataFrame:
-    """(key, value, n): the value that makes up more than half of a key's values, keys of ``least`` values or more."""
-    counts = pairs.groupBy(key, value).agg(F.count("*").alias("n"))
+    """(key, value, n): the value that makes up more than half of a key's values, keys of ``least`` values or more.
+
+    Only ``frequent`` keys are shuffled as they are; so ``pairs`` is evaluated twice and must give the same rows again.
+    """
+    counts = frequent(pairs, least, key).groupBy(key, value).agg(F.count("*").alias("n"))
     totals = counts.withColumn("total", F.sum("n").over(Window.partitionBy(key)))
     return totals.where((F.col("total") >= least) & (F.col("n") > F.expr("total div 2"))).select(key, value, "n")
 
 
+def frequent(rows: DataFrame, least: int, key: str = "key") -> DataFrame:
+    """All rows whose key occurs ``least`` times or more, and few others: those whose key's hash falls in with another's.
+
+    Most keys may be rare and long. So first only hashes are counted: each task sends its own in sorted blocks, some 4
+    bytes a row, and the frequent ones make a filter of 2 to 4 bytes each that is broadcast. Over a table of more than
+    16 million frequent keys it lets more of the others pass, but never misses one. A null key is a key. Hashes know no
+    collation, so rows with a collated key all pass.
+    """
+    if least < 2 or " collate " in rows.schema[key].dataType.simpleString():
+        return rows
+    hashed = rows.withColumn("_slot", F.shiftrightunsigned(F.xxhash64(key), 64 - SLOT_BITS))
+    blocks = hashed.select("_slot").mapInArrow(_slot_blocks, "part int, slots binary, counts binary")
+    slots = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _frequent_slots(batches, least), "slot long")
+    words = slots.repartition(1).mapInArrow(_filter_words, "_words array<long>")
+    bits = " | ".join(f"shiftleft(1L, cast(shiftright(_slot, {b}) & 63 as int))" for b in _FILTER_SHIFTS)
+    word = F.expr("get(_words, cast(_slot & (size(_words) - 1) as int))")
+    # an inner join with the one row: a semi join would be pushed below the hash and evaluate it again for each use
+    return hashed.withColumn("_bits", F.expr(bits)).join(F.broadcast(words), word.bitwiseAND(F.col("_bits")) == F.col("_bits")).drop("_slot", "_bits", "_words")
+
+
+#: A slot's word in the filter is its last bits; its three bits there are numbered by six bits each from these on.
+_FILTER_SHIFTS = (24, 30, 36)
+
+
+def _slot_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, slots, counts) of every block of a task's hashes: a part's slots in order, four bytes each, and their counts."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(batch.column(0).to_numpy())
+        if sum(map(len, held)) >= BLOCK:
+            yield _slot_block(np.concatenate(held))
+            held = []
+    if held:
+        yield _slot_block(np.concatenate(held))
+
+
+def _slot_block(slots: np.ndarray) -> pa.RecordBatch:
+    slots, counts = np.unique(slots, return_counts=True)
+    parts, starts = np.unique(slots >> (SLOT_BITS - PART_BITS), return_index=True)
+    cut = lambda x: pa.array([own.tobytes() for own in np.split(x.astype("<u4"), starts[1:])][: len(parts)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), cut(slots), cut(counts)], ["part", "slots", "counts"])
+
+
+def _frequent_slots(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The slots that were counted ``least`` times or more, of blocks in the order of their parts."""
+    blocks = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for part, own in groupby(blocks, key=lambda r: r[0]):
+        _, slots, counts = zip(*own, strict=True)
+        slots, counts = (np.frombuffer(b"".join(x), "<u4") for x in (slots, counts))
+        order = np.argsort(slots)
+        slots = slots[order]
+        starts = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+        found = slots[starts[np.add.reduceat(counts[order].astype(np.int64), starts) >= least]]
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64) | part << (SLOT_BITS - PART_BITS))], ["slot"])
+
+
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the words of a Bloom filter of all slots, each slot's bits in one word, 2 to 4 slots a word."""
+    slots = np.concatenate([np.empty(0, np.int64), *(batch.column(0).to_numpy() for batch in batches)])
+    words = np.zeros(min(MOST_WORDS, 1 << (len(slots) // 4).bit_length()), np.int64)
+    for shift in _FILTER_SHIFTS:
+        np.bitwise_or.at(words, slots & (len(words) - 1), np.left_shift(np.int64(1), slots >> shift & 63))
+    yield pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.int64()))], ["_words"])
+
+
 def collisions(pairs: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """(key, values) of keys with more than one value."""
     repeated = pairs.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("values"), F.count("*").alias("n"))

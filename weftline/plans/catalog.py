@@ -80,7 +80,8 @@ SELECT phrase, source, n FROM t WHERE total >= 10 AND n > total // 2
 def distinctive_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", F.explode(text.sentences(F.col("text"))).alias("s"))
     split = docs.select("source", text.words(F.col("s")).alias("w"))  # a column of its own, or each phrase would split its sentence again
-    phrases = split.select("source", F.explode(text.phrases(F.col("w"))).alias("phrase"))
+    starts = split.select("source", "w", F.explode(text.phrase_starts(F.col("w"))).alias("i"))
+    phrases = starts.select("source", text.phrase_at(F.col("w"), F.col("i")).alias("phrase"))
     return grouping.majority(phrases, 10, "phrase", "source").select("phrase", "source", "n")
 
 
